@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .linededup import OP2_SQL, op2_line_spread
+from .quality import OP9_SQL, op9_host_quality
 from .sharding import op6_ring_sharding
 from .simhash import op5_simhash_ball
 
@@ -13,8 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_simhash_ball, op6_ring_sharding)}
+    return {f.__name__: f for f in (op2_line_spread, op5_simhash_ball, op6_ring_sharding, op9_host_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_spread": OP2_SQL, "op9_host_quality": OP9_SQL}
