@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hmm import op10_hmm
 from .linededup import OP2_SQL, op2_line_spread
 from .packing import op8_karmarkar_karp
 from .quality import OP9_SQL, op9_host_quality
@@ -16,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_line_spread, op5_simhash_ball, op6_ring_sharding, op8_karmarkar_karp, op9_host_quality)}
+    return {f.__name__: f for f in (op2_line_spread, op5_simhash_ball, op6_ring_sharding, op8_karmarkar_karp, op9_host_quality, op10_hmm)}
 
 
 def oracle_sql() -> dict[str, str]:
