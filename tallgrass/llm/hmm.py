@@ -17,7 +17,7 @@ from .common import materialize, ready
 END = " "
 _CHUNK = 2_000_000  # tokens that share a local vocabulary
 _WAVE = 4_000_000  # tokens that are held to be sorted by length
-_STEP = 1_000_000  # tokens of one padded batch
+_STEP = 500_000  # tokens of one padded batch
 
 
 @dataclass(frozen=True)
@@ -28,8 +28,8 @@ class Settings:
 
     states: int = 6
     frequent: int = 4096
-    classes: int = 64
-    rounds: int = 3
+    classes: int = 256
+    rounds: int = 4
     folds: int = 5
     held: int = 1
     seed: int = 7
@@ -83,10 +83,9 @@ def localise(df: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
     return materialize(rows.mapInPandas(lambda it: _local(it, folds, held), schema), "local")
 
 
-def shape_class(classes: int) -> F.Column:
-    """Class of a word that isn't a symbol of its own, by length, first byte's kind and a hash: no table needed."""
-    size = F.least(F.length("word"), F.lit(16)) - 1
-    return F.pmod(size * 4 + F.pmod(F.crc32("word"), F.lit(4)), F.lit(classes)).cast("int")
+def ending_class(classes: int) -> F.Column:
+    """Class of a word that isn't a symbol of its own: a hash of its last two characters, so no table is needed."""
+    return F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(classes)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -114,7 +113,7 @@ def prepare(df: DataFrame, key: str, text: str, s: Settings) -> Corpus:
     top = [(r["word"], int(r["c"])) for r in counts.where(F.col("c") * s.frequent >= max(n, 1)).orderBy(F.desc("c"), "word").collect()]
     own = {w: i for i, (w, _) in enumerate(top)}
     names = df.sparkSession.createDataFrame([(w, i) for w, i in own.items()], "word string, symbol int")
-    tagged = counts.join(F.broadcast(names), "word", "left").withColumn("class", F.when(F.col("symbol").isNull(), shape_class(s.classes)))
+    tagged = counts.join(F.broadcast(names), "word", "left").withColumn("class", F.when(F.col("symbol").isNull(), ending_class(s.classes)))
     mass, kinds = np.zeros(s.classes), np.zeros(s.classes)
     for r in tagged.where("class is not null").groupBy("class").agg(F.sum("c").alias("m"), F.sum((F.col("c") > 0).cast("long")).alias("k")).collect():
         mass[r["class"]], kinds[r["class"]] = r["m"], r["k"]
@@ -155,10 +154,11 @@ class Model:
 
 
 def initial(corpus: Corpus, s: Settings) -> Model:
-    """Emissions near the symbols' overall shares, tilted a little for each state so that states can part."""
+    """The symbols' overall shares, tilted at random for each state, and states that tend to last: texts keep
+    to a language or manner, and from there a few rounds part the states."""
     rng = np.random.default_rng(s.seed)
-    share = np.maximum(corpus.weights, 1e-3) * rng.uniform(0.5, 1.5, (s.states, corpus.symbols))
-    move = rng.uniform(0.5, 1.5, (s.states, s.states)) + np.eye(s.states)
+    share = np.maximum(corpus.weights, 1e-3) * (rng.gamma(0.5, 1.0, (s.states, corpus.symbols)) + 0.02)
+    move = rng.uniform(0.5, 1.5, (s.states, s.states)) + 100 * np.eye(s.states)
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
     return Model(np.full(s.states, 1 / s.states), norm(move), norm(share))
 
@@ -187,56 +187,56 @@ def _batches(sequences: Iterator[tuple[object, bytes]]) -> Iterator[list[tuple[o
     yield from sorted_out(held)
 
 
-def forward(m: Model, seqs: list[np.ndarray], keep: bool = False) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """log10 likelihood of each sequence (longest first), by scaled forward recursion over all at once."""
+def _by_time(seqs: list[np.ndarray]) -> list[np.ndarray]:
+    """The symbols at each step, of the sequences (longest first) that reach it."""
     lengths = np.array([len(x) for x in seqs])
-    by_time = _by_time(seqs, lengths)
-    logs, alphas, scales = np.zeros(len(seqs)), [], []
-    emit = np.ascontiguousarray(m.emit.T)
+    padded = np.zeros((len(seqs), int(lengths[0])), dtype=np.int32)
+    for row, seq in zip(padded, seqs, strict=True):
+        row[: len(seq)] = seq
+    alive = len(seqs) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), side="right")
+    return [x[:n] for x, n in zip(np.ascontiguousarray(padded.T), alive.tolist(), strict=True)]
+
+
+def forward(m: Model, seqs: list[np.ndarray], keep: bool = False) -> tuple[np.ndarray, list, list, list]:
+    """log10 likelihood of each sequence (longest first), by scaled forward recursion over all at once.
+
+    To ``keep`` gives the symbols, scaled forward vectors and scales of each step besides.
+    """
+    by_time, logs, alphas, scales = _by_time(seqs), np.zeros(len(seqs)), [], []
+    emit, ones = np.ascontiguousarray(m.emit.T), np.ones(len(m.start))
     alpha = None
     for syms in by_time:
-        alpha = (m.start if alpha is None else alpha[: len(syms)] @ m.move) * emit[syms]
-        scale = alpha.sum(axis=1)
-        alpha = alpha / scale[:, None]
+        alpha = emit[syms] * (m.start if alpha is None else alpha[: len(syms)] @ m.move)
+        scale = alpha @ ones
+        alpha /= scale[:, None]
         logs[: len(syms)] += np.log10(scale)
         if keep:
             alphas.append(alpha)
             scales.append(scale)
-    return logs, alphas, scales
-
-
-def _by_time(seqs: list[np.ndarray], lengths: np.ndarray) -> list[np.ndarray]:
-    """The symbols at each step, of the sequences that reach it."""
-    flat, n = np.concatenate(seqs), len(seqs)
-    time = np.concatenate([np.arange(x) for x in lengths])
-    order = np.argsort(time, kind="stable")
-    alive = np.bincount(time, minlength=int(lengths[0]))
-    assert alive[0] == n
-    return np.split(flat[order].astype(np.int64), np.cumsum(alive)[:-1])
+    return logs, by_time, alphas, scales
 
 
 def expectations(m: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions of the sequences, and their log10 likelihood."""
-    logs, alphas, scales = forward(m, seqs, keep=True)
-    by_time = _by_time(seqs, np.array([len(x) for x in seqs]))
-    emit = np.ascontiguousarray(m.emit.T)
-    moves, emits = np.zeros_like(m.move), np.zeros((emit.shape[0], len(m.start)))
-    states, symbols = [], []
+    logs, by_time, alphas, scales = forward(m, seqs, keep=True)
+    emit, back = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
+    moves, emits = np.zeros_like(m.move), np.zeros_like(m.emit)
     beta = np.ones_like(alphas[-1])
     for t in range(len(by_time) - 1, -1, -1):
-        gamma = alphas[t] * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        states.append(gamma)
-        symbols.append(by_time[t])
         if t:
-            ahead = emit[by_time[t]] * beta / scales[t][:, None]
-            moves += alphas[t - 1][: len(ahead)].T @ ahead
-            beta = np.ones_like(alphas[t - 1])
-            beta[: len(ahead)] = ahead @ m.move.T
-    flat, gammas = np.concatenate(symbols), np.concatenate(states)
+            ahead = emit[by_time[t]]
+            ahead *= beta
+            ahead /= scales[t][:, None]
+            before = alphas[t - 1]
+            moves += before[: len(ahead)].T @ ahead
+        alphas[t] *= beta  # from here on the state's posterior
+        if t:
+            beta = np.ones_like(before)
+            np.matmul(ahead, back, out=beta[: len(ahead)])
+    flat, gammas = np.concatenate(by_time), np.concatenate(alphas)
     for k in range(len(m.start)):
-        emits[:, k] = np.bincount(flat, weights=gammas[:, k], minlength=emits.shape[0])
-    return states[-1].sum(axis=0), moves * m.move, emits.T, float(logs.sum())
+        emits[k] = np.bincount(flat, weights=gammas[:, k], minlength=emits.shape[1])
+    return alphas[0].sum(axis=0), moves * m.move, emits, float(logs.sum())
 
 
 def baum_welch(corpus: Corpus, m: Model, floor: float = 1e-2) -> tuple[Model, float]:
@@ -286,7 +286,7 @@ def score_hmm(df: DataFrame, key: str = "doc_id", text: str = "text", settings:
 def _scores(corpus: Corpus, m: Model, key: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _batches((tuple(r[:-1]), r[-1]) for pdf in batches for r in pdf.itertuples(index=False, name=None)):
-            logs, _, _ = forward(m, [x for _, x in batch])
+            logs, *_ = forward(m, [x for _, x in batch])
             yield pd.DataFrame([tag for tag, _ in batch], columns=names).assign(hmm=logs)
 
     names = ["key", "held_out", "n_tokens", "n_known", "base_score", "tail"]
