@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .hmm import op10_hmm
 from .linededup import OP2_SQL, op2_line_spread
 from .packing import op8_karmarkar_karp
+from .pii import op4_boosted_pii
 from .quality import OP9_SQL, op9_host_quality
 from .sharding import op6_ring_sharding
 from .simhash import op5_simhash_ball
@@ -17,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_line_spread, op5_simhash_ball, op6_ring_sharding, op8_karmarkar_karp, op9_host_quality, op10_hmm)}
+    return {f.__name__: f for f in (op2_line_spread, op4_boosted_pii, op5_simhash_ball, op6_ring_sharding, op8_karmarkar_karp, op9_host_quality, op10_hmm)}
 
 
 def oracle_sql() -> dict[str, str]:
