@@ -3,35 +3,37 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..workers import ready
 
 _DASHES = "‐‑‒–—―−"
 _EDGE = r"(?U)^\s+|\s+$"
 STOP_WORDS = tuple(sorted("a an and are as be by com da das de do dos e em for from in is it na no o of on or os para por que sua seu ao that the this to um uma with".split()))
 
 
-@F.pandas_udf("string")
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf("string")
 def _casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else s.casefold())
 
 
-@F.pandas_udf("string")
 def _bare(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c)))
 
 
-def _beyond_ascii(x: Column, f, ascii_form: Column) -> Column:
+def _beyond_ascii(x: Column, f: Callable, ascii_form: Column) -> Column:
+    ready()
     beyond = x.rlike(r"[^\x00-\x7F]")
-    return F.when(beyond, f(F.when(beyond, x))).otherwise(ascii_form)  # Python gets nulls for ASCII texts
+    step = F.pandas_udf(f, T.StringType())
+    return F.when(beyond, step(F.when(beyond, x))).otherwise(ascii_form)  # Python gets nulls for ASCII texts
 
 
 def text_or_blank(x: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase_in, terms
+from ..workers import ready
 from .catalog import require_bounded
 
 MOST_ENTRIES = 5_000
@@ -144,6 +145,8 @@ def fit_latent(catalog: DataFrame, name: str, description: str, dimensions: int
 
 def latent_scores(docs: DataFrame, text: str, model: Latent, out: str = "scores") -> DataFrame:
     """Add the text's score with every entry, in the entries' order: within 0 and 1, to 8 places."""
+    ready(docs.sparkSession)
+
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
             rows = []

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
+from ..workers import ready
 
 OMITTED = "\n[... omitted ...]\n"
 _SPANS = "array<struct<start: int, end: int>>"
@@ -87,6 +88,8 @@ def choose_spans(text: str, budget: int, query: str, most: int, edges: bool = Fa
 
 def span_chunks(text: Column, most: int, lines_first: bool = True, keep_blank: bool = False) -> Column:
     """Array of (start, end). A null text has none; ``keep_blank`` gives a blank one a single empty passage."""
+    ready()
+
     @F.pandas_udf(_SPANS)
     def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([[(0, 0)] if keep_blank and not (t or "").strip() else cut_spans(t or "", most, lines_first) for t in texts])
@@ -101,6 +104,7 @@ def select_context(df: DataFrame, body: str, comments: str, query: str, availabl
     is left; their query takes in the chosen body. ``required`` names an array of evidence that must stay
     where a text has it; if it can't, error says so and the texts are null.
     """
+    ready(df.sparkSession)
     kind = f"body string, comments string, body_spans {_SPANS}, comment_spans {_SPANS}, omitted boolean, error string"
 
     @F.pandas_udf(kind)
