@@ -9,6 +9,7 @@ from ..functions import rules
 from ..operators import ledger, metrics, rollup, stages
 from ..operators.responses import downgrade
 from ..types import KEY, PAIR_KEY
+from ..streaming.ledger import run_once, windowed
 from .bindings import bound, oracle, sql
 from .registry import registry
 
@@ -204,3 +205,12 @@ SELECT run, pos, b::INTEGER AS batch FROM f""")
 def batch_packing(spark: SparkSession, d: str) -> DataFrame:
     requests = sql(spark, d, "SELECT source AS run, doc_id AS pos, CAST(octet_length(text) AS BIGINT) AS bytes FROM {documents}")
     return stages.pack_requests(requests, "run", "pos", "bytes", 20, 60_000).select("run", "pos", "batch")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(DISTINCT event_id) AS calls FROM events GROUP BY ALL")
+def ledger_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The table read as a stream of files: replays dropped, calls counted per hour."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    calls = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = run_once(windowed(calls.dropDuplicates(["event_id"]), "ts", "1 hour", ["event_type"]))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
