@@ -1,53 +1,17 @@
-"""Shared plumbing of the training-data operators: scratch tables, row links and ranks."""
+"""Shared plumbing of the training-data operators: row links and ranks."""
 
 from __future__ import annotations
 
-import itertools
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of the contracts: maximal runs without ASCII white space. bytes.split() cuts at the same bytes.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_ROOT = str(Path(__file__).resolve().parents[2])
-_counter = itertools.count()
-
-
-def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package when it runs from a source tree."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+from ..scratch import materialize, release, shared_dir
+from ..workers import ready
 
+__all__ = ["WORD", "components", "global_rank", "materialize", "ready", "release", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all nodes share: spark.checkpoint.dir, or one of our own in local mode."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-        root = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/{sc.applicationId}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{next(_counter)}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; call it when no result that reads them is left."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Words of the contracts: maximal runs without ASCII white space. bytes.split() cuts at the same bytes.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def components(edges: DataFrame) -> DataFrame:
