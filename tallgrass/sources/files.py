@@ -15,6 +15,8 @@ from ..operators.vocab import canonicalize, vocabulary
 from ..types import KEY, LEDGER, PAIR_KEY, SUCCEEDED
 
 _HEAD = 1 << 16
+_LATIN = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_WINDOWS = bytes(map(ord, _LATIN)).decode("cp1252")
 
 
 def encoding_of(head: bytes, valid: bool) -> str:
@@ -48,7 +50,10 @@ def probe(spark: SparkSession, path: str) -> tuple[str, str]:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, missing cells blank, headers in snake case; quoted cells may hold line breaks."""
     encoding, sep = probe(spark, path)
-    df = spark.read.csv(path, header=True, sep=sep, encoding="UTF-8" if encoding.startswith("utf") else encoding, multiLine=True, quote='"', escape='"', inferSchema=False)
+    utf8 = encoding.startswith("utf")
+    df = spark.read.csv(path, header=True, sep=sep, encoding="UTF-8" if utf8 else "ISO-8859-1", multiLine=True, quote='"', escape='"', inferSchema=False)
+    if not utf8:  # the two differ in the bytes 0x80 to 0x9F only
+        df = df.select(*[F.translate(F.col(f"`{c}`"), _LATIN, _WINDOWS).alias(c.translate(str.maketrans(_LATIN, _WINDOWS))) for c in df.columns])
     return df.toDF(*normalized_headers(df.columns)).na.fill("")
 
 

@@ -41,13 +41,13 @@ def upsert_stream(results: DataFrame, path: str, key: Sequence[str], checkpoint:
 
 
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Process what is there now and return the last state as a table (of the size of the result)."""
+    """Process what is there now; returns the last state, or in append mode all rows, as a table (of the size of the result)."""
     spark = stream.sparkSession
     out = new_path(spark, "stream")
 
-    def put(batch: DataFrame, _: int) -> None:
-        write_table(batch, f"{out}/rows")
+    def put(batch: DataFrame, number: int) -> None:
+        write_table(batch, f"{out}/rows/part-of-{number if mode == 'append' else 'all'}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows") if exists(spark, f"{out}/rows") else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{out}/rows") if exists(spark, f"{out}/rows") else spark.createDataFrame([], stream.schema)
