@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..workers import ready
 
 _DASHES = "‐‑‒–—―−"
+_PLAIN = r"^[\x20-\x7E\n\t]*+$"
 _EDGE = r"(?U)^\s+|\s+$"
 STOP_WORDS = tuple(sorted("a an and are as be by com da das de do dos e em for from in is it na no o of on or os para por que sua seu ao that the this to um uma with".split()))
 
@@ -55,14 +56,15 @@ def normalize_unicode(x: Column, newlines: bool, ascii_only: bool = False) -> Co
     With ``newlines`` line breaks and tabs stay, else they are spaces. ``ascii_only`` promises ASCII texts
     and leaves the Python step out.
     """
-    x = text_or_blank(x)
-    x = x if ascii_only else _beyond_ascii(x, _nfkc, x)
+    given = text_or_blank(x)
+    x = given if ascii_only else _beyond_ascii(given, _nfkc, given)
     x = F.regexp_replace(x, r"\r\n?", "\n")
     x = F.translate(x, _DASHES, "-" * len(_DASHES))
     x = F.regexp_replace(x, r"[\p{Cf}&&[^‌‍]]", "")
     x = F.regexp_replace(x, r"[\p{Cc}&&[^\n\t]]", "")
     x = F.regexp_replace(x, r"[\p{Zl}\p{Zp}]", "\n" if newlines else " ")
     x = F.regexp_replace(x, r"\p{Zs}", " ")
+    x = F.when(given.rlike(_PLAIN), given).otherwise(x)  # nothing to do for printable ASCII
     return x if newlines else F.translate(x, "\n\t", "  ")
 
 
@@ -85,7 +87,8 @@ def fold(x: Column, ascii_only: bool = False) -> Column:
 
 def fingerprint(x: Column, ascii_only: bool = False) -> Column:
     """Case- and separator-insensitive form of a name."""
-    return F.trim(F.regexp_replace(fold(canonical_display(x, ascii_only), ascii_only), r"(?U)[\W_]+", " "))
+    full = F.trim(F.regexp_replace(fold(canonical_display(x, ascii_only), ascii_only), r"(?U)[\W_]+", " "))
+    return F.when(x.rlike(_PLAIN), F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))).otherwise(full)
 
 
 def header_name(x: str) -> str:

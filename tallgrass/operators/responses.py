@@ -87,7 +87,8 @@ def _known(value: Column, names: Sequence[str], ascii_only: bool) -> Column:
 
     plain = lambda n: re.sub(r"[\W_]+", " ", n.casefold()).strip()
     table = F.create_map(*[F.lit(x) for n in dict.fromkeys(names) for x in (plain(n), n)])
-    return F.try_element_at(table, fingerprint(value, ascii_only))
+    exact = F.create_map(*[F.lit(x) for n in dict.fromkeys(names) for x in (n, n)])
+    return F.coalesce(F.try_element_at(exact, value), F.try_element_at(table, fingerprint(value, ascii_only)))
 
 
 def _each_known(values: Column, names: Sequence[str]) -> Column:

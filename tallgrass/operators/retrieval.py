@@ -52,8 +52,11 @@ def lexical_matches(docs: DataFrame, key: str, text: str, rules: DataFrame, unic
     """
     require_bounded(rules, MOST_ENTRIES * 20, "the table of phrases")
     keyed = F.broadcast(rules.withColumn("_first", F.get(words(F.col("phrase"), unicode), F.lit(0))).where("_first is not null"))
-    seen = docs.select(key, text, F.explode(F.array_distinct(words(F.col(text), unicode))).alias("_first"))
-    hits = seen.join(keyed, "_first").where(phrase_in(F.col("phrase"), F.col(text))).select(key, "pattern", "phrase", "direct")
+    low = docs.select(key, text, F.lower(text).alias("_low"), F.col(text).rlike("[\u0130\u017F\u212A]").alias("_odd"))
+    seen = low.select("*", F.explode(F.array_distinct(words(F.col(text), unicode))).alias("_first"))
+    # a plain search first: the regular expression only has to tell whole words (and letters with odd cases)
+    near = F.contains("_low", F.lower(F.trim("phrase"))) | F.col("_odd") | F.col("phrase").rlike(r"[^\x00-\x7F]")
+    hits = seen.join(keyed, "_first").where(near).where(phrase_in(F.col("phrase"), F.col(text))).select(key, "pattern", "phrase", "direct")
     odd = rules.where(F.get(words(F.col("phrase"), unicode), F.lit(0)).isNull() & (F.trim("phrase") != ""))
     if odd.isEmpty():
         return hits

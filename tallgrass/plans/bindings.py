@@ -52,8 +52,19 @@ NAMED = {"pairs": PAIRS, "stage1": STAGE1, "inputs": INPUTS, "labelled": LABELLE
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+#: Tables whose rows are dear to work on.
+_HEAVY = ("documents", "pages", "events", "embeddings")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input that arrives in fewer pieces than there are cores, dealt out evenly; a large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in _HEAVY else df
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -199,12 +199,12 @@ def remote_job_reuse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH RECURSIVE q AS (SELECT source AS run, doc_id AS pos, strlen(text) + 1 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
 f AS (SELECT run, k, pos, 0 AS b, 1 AS n, 2 + s AS u FROM q WHERE k = 1 UNION ALL
-  SELECT q.run, q.k, q.pos, f.b + (CASE WHEN f.n >= 20 OR f.u + q.s > 60000 THEN 1 ELSE 0 END), CASE WHEN f.n >= 20 OR f.u + q.s > 60000 THEN 1 ELSE f.n + 1 END,
-    CASE WHEN f.n >= 20 OR f.u + q.s > 60000 THEN 2 + q.s ELSE f.u + q.s END FROM f JOIN q ON q.run = f.run AND q.k = f.k + 1)
+  SELECT q.run, q.k, q.pos, f.b + (CASE WHEN f.n >= 20 OR f.u + q.s > 1000000 THEN 1 ELSE 0 END), CASE WHEN f.n >= 20 OR f.u + q.s > 1000000 THEN 1 ELSE f.n + 1 END,
+    CASE WHEN f.n >= 20 OR f.u + q.s > 1000000 THEN 2 + q.s ELSE f.u + q.s END FROM f JOIN q ON q.run = f.run AND q.k = f.k + 1)
 SELECT run, pos, b::INTEGER AS batch FROM f""")
 def batch_packing(spark: SparkSession, d: str) -> DataFrame:
     requests = sql(spark, d, "SELECT source AS run, doc_id AS pos, CAST(octet_length(text) AS BIGINT) AS bytes FROM {documents}")
-    return stages.pack_requests(requests, "run", "pos", "bytes", 20, 60_000).select("run", "pos", "batch")
+    return stages.pack_requests(requests, "run", "pos", "bytes", 20, 1_000_000).select("run", "pos", "batch")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(DISTINCT event_id) AS calls FROM events GROUP BY ALL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import audit, catalog, prepare, responses, retrieval, vocab
-from .bindings import bound, oracle, sql
+from .bindings import sql, table
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -49,7 +49,7 @@ def issues(spark: SparkSession, d: str) -> DataFrame:
     """Documents as issues, with the conversation of the same number as comments."""
     turns = sql(spark, d, "SELECT conv_id, turn, text FROM {conversations}")
     talks = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("talk"))
-    return spark.sql(ISSUES, documents=spark.read.parquet(f"{d}/documents.parquet"), talks=talks)
+    return spark.sql(ISSUES, documents=table(spark, d, "documents"), talks=talks)
 
 
 _STRIP = lambda c: f"regexp_replace(regexp_replace({c}, '[^\\P{{Cc}}\\n\\t]', '', 'g'), '^\\s+|\\s+$', '', 'g')"
