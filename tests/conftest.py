@@ -5,14 +5,15 @@ import sys
 from pathlib import Path
 
 import duckdb
-import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[1])
-if ROOT not in sys.path:
-    sys.path.insert(0, ROOT)
-SF = "/root/testdata/sf0.001"
+HERE = Path(__file__).resolve().parent
+for p in (str(HERE.parent), str(HERE)):
+    if p not in sys.path:
+        sys.path.insert(0, p)
+
+from support import SF, canonical  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -44,20 +45,6 @@ def duck():
     return con
 
 
-def canonical(df: pd.DataFrame) -> list[tuple]:
-    """Rows as sorted tuples of texts; numbers to nine digits, so that whole floats equal integers."""
-    def cell(v):
-        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
-            return "NULL"
-        if isinstance(v, bool) or type(v).__name__ in ("bool", "bool_"):
-            return str(bool(v))
-        if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "if":
-            return f"{float(v):.9g}"
-        return str(list(v)) if hasattr(v, "tolist") else str(v)
-
-    return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False))
-
-
 @pytest.fixture(scope="session")
 def same_as_sql(spark, duck):
     def check(query, text: str) -> None:

@@ -6,7 +6,7 @@ import subprocess
 import sys
 
 import pytest
-from conftest import ROOT, SF
+from support import ROOT, SF
 
 from tallgrass import catalog_of_queries as catalog
 
