@@ -17,7 +17,7 @@ from .packing import _spread
 
 SPACE = "▁"
 _TAIL = ".,!?;:"
-_MOST = 1_000_000
+_MOST = 600_000
 _RUN = 1 << 20
 _BASE = -1
 _loaded: dict[str, Transducer] = {}
