@@ -35,6 +35,15 @@ class Settings:
     seed: int = 7
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    """The lower halves of all numbers, then the upper ones, which are few values and shrink well on disk."""
+    return ids.view("<u2").reshape(-1, 2).T.tobytes()
+
+
+def _whole(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype="<u2").reshape(2, -1).T).view("<i4").ravel()
+
+
 def _local(path_chunks: Iterator[pd.DataFrame], folds: int, held: int) -> Iterator[pd.DataFrame]:
     """Rows of kind d: a document with its tokens as numbers in its chunk's vocabulary. Rows of kind v: that vocabulary."""
     part, k = 0, 0
@@ -65,7 +74,7 @@ def _local(path_chunks: Iterator[pd.DataFrame], folds: int, held: int) -> Iterat
             out = name is not None and zlib.crc32(name.encode()) % folds == held
             if not out:
                 train.append(ids)
-            docs.append((row, key, out, len(ids), ids.tobytes()))
+            docs.append((row, key, out, len(ids), _planes(ids)))
             tokens += len(ids)
             if tokens >= _CHUNK:
                 yield from flush()
@@ -135,7 +144,7 @@ def prepare(df: DataFrame, key: str, text: str, s: Settings) -> Corpus:
         tail, seen = np.where(sym >= first, log - of_class, 0.0), c > 0
         out = []
         for raw in left["ids"]:
-            ids = np.frombuffer(raw, dtype="<i4")
+            ids = _whole(raw)
             out.append((int(seen[ids].sum()), float(base[ids].sum()), float(tail[ids].sum()), sym[ids].astype("<u2").tobytes()))
         got = pd.DataFrame(out, columns=["n_known", "base_score", "tail", "seq"])
         return pd.concat([left[["row", "key", "held_out", "n_tokens"]].reset_index(drop=True), got], axis=1)
