@@ -8,6 +8,7 @@ from collections import Counter
 
 import xxhash
 
+Span = tuple[int, int, str]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -50,7 +51,7 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str | None) -> list[tuple[int, int, str]]:
+def base_spans(text: str | None) -> list[Span]:
     """(start, end, kind) by start, then kind."""
     out = []
     for order, (kind, pattern) in enumerate(KINDS.items()):
@@ -62,7 +63,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     return [(a, b, k) for a, _, b, k in sorted(out)]
 
 
-def joined(spans: list[tuple[int, int, str]]) -> str:
+def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
@@ -70,7 +71,7 @@ def base_digest(text: str | None) -> str:
     return hashlib.sha256(joined(base_spans(text)).encode()).hexdigest()
 
 
-def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
+def redacted(text: str | None, spans: list[Span]) -> str | None:
     if not spans:
         return text
     out, at = [], 0
