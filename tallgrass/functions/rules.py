@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PERMANENT = ("unauthenticated", "invalid api key", "permission denied", "forbidden", "invalid argument", "bad request", " 400", " 401", " 403")
-_TRANSIENT = ("429", "500", "502", "503", "504")
-_TRANSIENT_WORDS = ("rate limit", "too many requests", "resource_exhausted", "timed out", "timeout", "network", "connection", "temporar", "unavailable")
-_GLOBAL = ("quota", "rate limit", "too many requests", "resource_exhausted", "forbidden", "permission denied", "invalid api key", "unauthenticated")
+_DENIED = "permission denied|forbidden|unauthenticated|invalid api key"
+_BUSY = "too many requests|rate limit|resource_exhausted"
+_PERMANENT = f"{_DENIED}|invalid argument|bad request| 40[013]"
+_PASSING = f"{_BUSY}|timeout|timed out|connection|network|temporar|unavailable| 429| 50[0234]"
+_EVERYWHERE = f"{_DENIED}|{_BUSY}|quota"
 
 
-def _any(text: Column, marks: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for m in marks:
-        found = found | F.contains(text, F.lit(m))
-    return found
+def _text(error: Column) -> Column:
+    return F.lower(F.coalesce(error, F.lit("")))
 
 
 def retryable(error: Column) -> Column:
     """Whether an error's text speaks of a passing fault; permanent ones win."""
-    text = F.lower(F.coalesce(error, F.lit("")))
-    return ~_any(text, _PERMANENT) & (_any(text, _TRANSIENT_WORDS) | _any(text, tuple(f" {m}" for m in _TRANSIENT)))
+    return ~_text(error).rlike(_PERMANENT) & _text(error).rlike(_PASSING)
 
 
 def global_error(error: Column) -> Column:
     """Whether later requests would meet the same error."""
-    return _any(F.lower(F.coalesce(error, F.lit(""))), _GLOBAL)
+    return _text(error).rlike(_EVERYWHERE)
 
 
 def stage2_confidence(verdict: Column, evidence: Column, false_friend: Column, adoption: Column, mechanism: Column, scope: Column, focus: Column) -> Column:

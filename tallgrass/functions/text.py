@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..workers import ready
 
 _DASHES = "‐‑‒–—―−"
+_BREAKS = "\t\r\n"
 _PLAIN = r"^[\x20-\x7E\n\t]*+$"
 _EDGE = r"(?U)^\s+|\s+$"
 STOP_WORDS = tuple(sorted("a an and are as be by com da das de do dos e em for from in is it na no o of on or os para por que sua seu ao that the this to um uma with".split()))
@@ -92,12 +93,9 @@ def fingerprint(x: Column, ascii_only: bool = False) -> Column:
 
 
 def header_name(x: str) -> str:
-    """The snake-case form of a header, on the driver."""
-    import re
-
-    x = unicodedata.normalize("NFKC", x or "")
-    x = "".join(" " if unicodedata.category(c).startswith("Z") or c in "\t\r\n" else c for c in x if unicodedata.category(c) not in ("Cc", "Cf") or c in "\t\r\n‌‍")
-    return re.sub(r"_+", "_", re.sub(r"[^\w]+", "_", x.strip().casefold())).strip("_")
+    """The snake-case form of a header, on the driver: runs of letters and digits between single underscores."""
+    shown = (c for c in unicodedata.normalize("NFKC", x or "") if c in _BREAKS or unicodedata.category(c) not in ("Cc", "Cf"))
+    return "_".join("".join(c if c.isalnum() else " " for c in shown).casefold().split())
 
 
 def issue_number(x: Column, ascii_only: bool = False) -> Column:
@@ -135,7 +133,8 @@ def head_tail(x: Column, budget: int | Column) -> tuple[Column, Column]:
 
 def part_of(cell: Column, name: str) -> Column:
     """The part ``name: ...`` of a cell that several annotators share, up to the next named part; the cell if it has none."""
-    pattern = rf"(?is)(?:^|;\s*){name}\s*:\s*(.*?)(?=;\s*[\w-]+\s*:|$)"
+    other = r"(?:;\s*[\w-]+\s*:)"
+    pattern = rf"(?is)(?:^|;\s*){name}\s*:\s*((?:(?!{other}).)*)"
     return F.when(cell.rlike(pattern), F.trim(F.regexp_extract(cell, pattern, 1))).otherwise(cell)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKENS = ("input_tokens", "output_tokens", "total_tokens", "thoughts_tokens", "cached_input_tokens")
+TOKENS = tuple(f"{kind}_tokens" for kind in "input output total thoughts cached_input".split())
 REPLAY = ("batch_name", "stage", "repository", "issue_number", "pattern")
 
 

@@ -9,7 +9,8 @@ from ..functions.text import clean_text, clean_token, head_tail, issue_number, s
 from ..types import KEY, OPTIONAL_INPUT, REQUIRED_INPUT
 from .audit import alias_conflicts, blank_keys, duplicate_keys, normalized_headers, require, require_columns
 
-_TOKENS = ("repository", "repository_full_name", "issue_number", "type", "state", "html_url", "repository_category")
+_TOKENS = frozenset("repository repository_full_name repository_category issue_number type state html_url".split())
+_FRAME = 35  # characters of the tags around body and comments
 
 
 def resolve_aliases(df: DataFrame, a: str = "repository", b: str = "repository_full_name") -> DataFrame:
@@ -49,7 +50,7 @@ def prepare(df: DataFrame, max_chars: int = 12_000, ascii_only: bool = False) ->
     c = lambda n: F.col(f"_{n}")
     tag = lambda n: F.concat(F.lit(f"<{n}>"), c(n), F.lit(f"</{n}>\n"))
     df = df.withColumn("_fixed", F.concat(*map(tag, ("repository", "issue_number", "artifact_type", "state", "labels", "title"))))
-    left = F.greatest(F.lit(200), F.lit(max_chars - len("<body></body>\n<comments></comments>")) - F.length("_fixed"))
+    left = F.greatest(F.lit(200), F.lit(max_chars - _FRAME) - F.length("_fixed"))
     df = df.withColumn("_left", left)
     share = F.when(c("comments") == "", F.lit(1.0)).otherwise(F.lit(0.65))
     df = df.withColumn("_body_budget", F.greatest(F.lit(100), F.floor(F.col("_left") * share).cast("int")))

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, clean_token, fingerprint, strip
-from ..types import ADOPTION, CHALLENGES, CONFIDENCE, CONTEXT, ERRORED, FALSE_FRIEND, LOCATIONS, ACTIVITY_TYPES, STAGE1_PAYLOAD, STAGE2_PAYLOAD, SUCCEEDED, VERDICTS
+from ..types import ADOPTION, CANDIDATE, CHALLENGES, CONFIDENCE, CONTEXT, ERRORED, FALSE_FRIEND, LOCATIONS, ACTIVITY_TYPES, STAGE1_PAYLOAD, STAGE2_PAYLOAD, SUCCEEDED, VERDICTS
 
 _MAX_INLINE = 1_000  # names of a closed vocabulary that go into the plan as a literal map
 
 #: Short keys of compact responses.
 WIRE1 = {"issue_summary": "s", "issue_activity_type": "t", "issue_challenge_categories": "h", "context_status": "x", "candidates": "c"}
-WIRE_CANDIDATE = dict(zip(("pattern", "evidence_text", "evidence_location", "rationale", "confidence"), "pelrf", strict=True))
-WIRE2 = dict(zip(("verdict", "mechanism_match", "scope_match", "focus_match", "evidence_text", "evidence_location", "justification", "adoption_status", "false_friend_detected", "pattern_challenge_categories", "confidence", "alternative_pattern", "overlap_with"), "vmsfeljdbhcao", strict=True))
+WIRE_CANDIDATE = dict(zip((f.name for f in CANDIDATE), "pelrf", strict=True))
+WIRE2 = dict(zip((f.strip().split(" ")[0] for f in STAGE2_PAYLOAD.split(",")), "vmsfeljdbhcao", strict=True))
 
 
 def unfenced(text: Column) -> Column:
@@ -83,9 +83,7 @@ def _known(value: Column, names: Sequence[str], ascii_only: bool) -> Column:
     """Canonical name of a closed vocabulary in the row itself, or null. The vocabulary is bounded and part of the plan."""
     if len(names) > _MAX_INLINE:
         raise ValueError("use operators.vocab for large vocabularies")
-    import re
-
-    plain = lambda n: re.sub(r"[\W_]+", " ", n.casefold()).strip()
+    plain = lambda n: " ".join("".join(c if c.isalnum() else " " for c in n.casefold()).split())
     table = F.create_map(*[F.lit(x) for n in dict.fromkeys(names) for x in (plain(n), n)])
     exact = F.create_map(*[F.lit(x) for n in dict.fromkeys(names) for x in (n, n)])
     return F.coalesce(F.try_element_at(exact, value), F.try_element_at(table, fingerprint(value, ascii_only)))

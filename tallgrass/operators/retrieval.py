@@ -130,19 +130,20 @@ def fit_latent(catalog: DataFrame, name: str, description: str, dimensions: int
     require_bounded(catalog, 2_000, "the catalog")
     rows = catalog.select(name, terms(F.col(description)).alias("t")).orderBy(name).collect()
     counts, n = [Counter(r["t"]) for r in rows], len(rows)
-    vocabulary = {t: i for i, t in enumerate(sorted(set().union(*counts)))} if counts else {}
     present = Counter(t for c in counts for t in c)
-    idf = np.array([math.log((1 + n) / (1 + present[t])) + 1 for t in vocabulary])
+    vocabulary = {t: i for i, t in enumerate(sorted(present))}
+    idf = np.log((1 + n) / (1 + np.array([present[t] for t in vocabulary], dtype=float))) + 1
     m = np.zeros((n, len(vocabulary)))
     for i, c in enumerate(counts):
         for t, f in c.items():
             m[i, vocabulary[t]] = (1 + math.log(f)) * idf[vocabulary[t]]
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    values, vectors = np.linalg.eigh(m @ m.T)
-    kept = [i for i in np.argsort(values)[::-1][:dimensions] if values[i] > 1e-10]
-    projection = m.T @ (vectors[:, kept] / np.sqrt(values[kept]))
-    entries = m @ projection
-    entries /= np.maximum(np.linalg.norm(entries, axis=1, keepdims=True), 1e-12)
+    unit_rows = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    m = unit_rows(m)
+    values, vectors = np.linalg.eigh(m @ m.T)  # ascending
+    strong = values > 1e-10
+    values, vectors = values[strong][-dimensions:], vectors[:, strong][:, -dimensions:]
+    projection = m.T @ (vectors / np.sqrt(values))
+    entries = unit_rows(m @ projection)
     return Latent(vocabulary, idf, projection, entries, tuple(r[name] for r in rows))
 
 

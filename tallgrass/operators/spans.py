@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,6 +47,13 @@ def cut_spans(text: str, most: int, lines_first: bool = True) -> list[tuple[int,
     return spans
 
 
+class Passage(NamedTuple):
+    index: int
+    start: int
+    end: int
+    words: set[str]
+
+
 class Overflow(ValueError):
     """A passage that must stay doesn't fit."""
 
@@ -55,34 +64,38 @@ def choose_spans(text: str, budget: int, query: str, most: int, edges: bool = Fa
     Those with required evidence come first, then first and last if ``edges``, then by the query's terms
     weighted by rarity among the passages; one that doesn't fit is skipped and the next one tried.
     """
-    if len(text) <= budget:
-        return [(0, len(text))] if text else []
-    if budget <= 0:
-        return []
-    spans = cut_spans(text, min(most, max(80, budget // 3)))
-    wanted, sets = word_set(query), [word_set(text[a:b]) for a, b in spans]
-    rarity = {t: math.log(1 + len(spans) / (1 + sum(t in s for s in sets))) for t in wanted}
-    must = set()
-    for evidence in filter(None, required):
-        at = text.find(evidence)
-        if at >= 0:
-            must |= {i for i, (a, b) in enumerate(spans) if a < at + len(evidence) and at < b}
-    worth = [sum(rarity[t] for t in sorted(wanted & s)) / math.sqrt(max(1, len(s))) for s in sets]
-    ends = {0, len(spans) - 1} if edges else set()
-    kept, used = [], 0
-    for i in sorted(range(len(spans)), key=lambda i: (i not in must, i not in ends, -worth[i], i)):
-        cost = spans[i][1] - spans[i][0] + (len(OMITTED) if kept else 0)
-        if used + cost <= budget:
-            kept.append(i)
-            used += cost
-        elif i in must:
+    if budget < len(text):
+        return _within(text, budget, query, most, edges, required) if budget > 0 else []
+    return [(0, len(text))] if text else []
+
+
+def _within(text: str, budget: int, query: str, most: int, edges: bool, required: Sequence[str]) -> list[tuple[int, int]]:
+    parts = [Passage(i, a, b, word_set(text[a:b])) for i, (a, b) in enumerate(cut_spans(text, min(most, max(80, budget // 3))))]
+    wanted = word_set(query)
+    common = Counter(t for p in parts for t in p.words & wanted)
+    must = [(at, at + len(e)) for e in required if e and (at := text.find(e)) >= 0]
+    last = len(parts) - 1
+
+    def held(p: Passage) -> bool:
+        return any(p.start < y and x < p.end for x, y in must)
+
+    def order(p: Passage) -> tuple:
+        rarity = sum(math.log(1 + len(parts) / (1 + common[t])) for t in sorted(p.words & wanted))
+        return not held(p), not (edges and p.index in (0, last)), -rarity / math.sqrt(max(1, len(p.words))), p.index
+
+    kept: list[Passage] = []
+    room = budget
+    for p in sorted(parts, key=order):
+        cost = p.end - p.start + (len(OMITTED) if kept else 0)
+        if cost <= room:
+            kept.append(p)
+            room -= cost
+        elif held(p):
             raise Overflow("required evidence doesn't fit the budget")
     out: list[tuple[int, int]] = []
-    for a, b in (spans[i] for i in sorted(kept)):
-        if out and out[-1][1] == a:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
+    for p in sorted(kept, key=lambda p: p.index):
+        touching = out and out[-1][1] == p.start
+        out[-1:] = [(out[-1][0], p.end)] if touching else [*out[-1:], (p.start, p.end)]
     return out
 
 

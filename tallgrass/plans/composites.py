@@ -13,7 +13,7 @@ from ..functions.text import estimated_tokens, label_number, literal_match, stab
 from ..operators import audit, metrics, responses, retrieval, rollup, stages
 from ..operators.prepare import prepare
 from ..scratch import materialize
-from ..types import KEY, PAIR_KEY, SUCCEEDED
+from ..types import KEY, PAIR_KEY, SUCCEEDED, VERDICTS
 
 
 def evaluate_pairs(human_pairs: DataFrame, stage1: DataFrame, stage2: DataFrame, inferred: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -39,7 +39,7 @@ def evaluate_pairs(human_pairs: DataFrame, stage1: DataFrame, stage2: DataFrame,
         "comparison": joined.where(~unlabeled),
         "review": joined.where(unlabeled),
         "binary": metrics.binary_metrics(joined.where(~unlabeled), "human_verdict", "verdict"),
-        "confusion": metrics.confusion(joined.where(~unlabeled), "human_verdict", "verdict", ["yes", "no", "uncertain", "insufficient_context"]),
+        "confusion": metrics.confusion(joined.where(~unlabeled), "human_verdict", "verdict", VERDICTS),
         "stage2": totals.withColumns({"coverage": rate("labeled"), "uncertain_rate": rate("uncertain"), "insufficient_rate": rate("insufficient")}),
     }
 

@@ -18,7 +18,7 @@ ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')"
 
 def _terms(table: str, key: str) -> str:
     """DuckDB text: (key, term, tf) of a table's ASCII terms."""
-    return f"""(SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(regexp_extract_all(lower(regexp_replace({ASCII}, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+')) AS term FROM {table}) WHERE length(term) > 1 AND term NOT IN ({STOP}) GROUP BY ALL)"""
+    return f"""(SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(regexp_extract_all(lower(regexp_replace({ASCII}, '([[:lower:]])([[:upper:]])', '\\1 \\2', 'g')), '[a-z0-9]+')) AS term FROM {table}) WHERE length(term) > 1 AND term NOT IN ({STOP}) GROUP BY ALL)"""
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:

@@ -32,7 +32,7 @@ ISSUE_COLUMNS = tuple(
     "repository issue_key patterns_confirmed patterns_uncertain patterns_insufficient_context issue_challenge_categories".split()
 )
 
-CANDIDATE = T.StructType([T.StructField(n, T.StringType()) for n in ("pattern", "evidence_text", "evidence_location", "rationale", "confidence")])
+CANDIDATE = T.StructType([T.StructField(n, T.StringType()) for n in "pattern evidence_text evidence_location rationale confidence".split()])
 STAGE1_PAYLOAD = "issue_summary string, issue_activity_type string, issue_challenge_categories array<string>, context_status string, candidates array<struct<pattern: string, evidence_text: string, evidence_location: string, rationale: string, confidence: string>>"
 STAGE2_PAYLOAD = "verdict string, mechanism_match boolean, scope_match boolean, focus_match boolean, evidence_text string, evidence_location array<string>, justification string, adoption_status string, false_friend_detected string, pattern_challenge_categories array<string>, confidence string, alternative_pattern string, overlap_with array<string>"
 LEDGER = (

@@ -1,7 +1,5 @@
 """What tests share."""
 
-from __future__ import annotations
-
 from pathlib import Path
 
 import pandas as pd

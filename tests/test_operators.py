@@ -168,7 +168,10 @@ def test_ledger(spark):
 
 
 PATTERNS = ["Proxy Contract", "Oracle"]
-S2 = {"verdict": "YES", "mechanism_match": True, "scope_match": True, "focus_match": True, "evidence_text": " seen ", "evidence_location": ["Body"], "justification": "because", "adoption_status": "implemented existing", "false_friend_detected": "no", "pattern_challenge_categories": [], "confidence": "High", "alternative_pattern": "", "overlap_with": ["oracle", "ORACLE"]}
+S2 = dict.fromkeys(("mechanism_match", "scope_match", "focus_match"), True) | dict(
+    verdict="YES", evidence_text=" seen ", evidence_location=["Body"], justification="because", adoption_status="implemented existing", false_friend_detected="no",
+    pattern_challenge_categories=[], confidence="High", alternative_pattern="", overlap_with=["oracle", "ORACLE"],
+)
 
 
 def normalized(spark, f, payload):
@@ -194,8 +197,8 @@ def test_stage2_responses(spark):
         assert normalized(spark, responses.normalize_stage2, bad)["error"] == "no JSON object"
 
 
-S1 = {"issue_summary": "x", "issue_activity_type": "Bug Report", "issue_challenge_categories": ["none_explicit", "migration"], "context_status": "sufficient", "candidates": [
-    {"pattern": "oracle", "evidence_text": "e", "evidence_location": "body", "rationale": "r", "confidence": "low"}, {"pattern": "Oracle", "evidence_text": "", "evidence_location": "body", "rationale": "", "confidence": "low"}]}
+S1 = dict(issue_summary="x", issue_activity_type="Bug Report", issue_challenge_categories=["none_explicit", "migration"], context_status="sufficient")
+S1["candidates"] = [dict(zip("pattern evidence_text evidence_location rationale confidence".split(), x)) for x in (("oracle", "e", "body", "r", "low"), ("Oracle", "", "body", "", "low"))]
 
 
 def test_stage1_responses(spark):
@@ -220,7 +223,8 @@ def test_wire(spark):
 
 
 def test_schema_errors(spark):
-    schema = {"type": "object", "required": ["a", "b"], "additionalProperties": False, "properties": {"a": {"type": "string", "enum": ["x"]}, "b": {"type": "boolean"}, "c": {"type": "array", "items": {"enum": ["p"]}}}}
+    kinds = {"a": dict(type="string", enum=["x"]), "b": dict(type="boolean"), "c": dict(type="array", items=dict(enum=["p"]))}
+    schema = dict(type="object", required=["a", "b"], additionalProperties=False, properties=kinds)
     check = lambda raw: spark.createDataFrame([(raw,)], "r string").select(responses.schema_errors(F.col("r"), schema).alias("e")).first()["e"]
     assert check('{"a":"x","b":true,"c":["p"]}') == []
     assert check('{"a":"y","d":1,"c":["q"]}') == ["$.b: missing", "$: unknown keys", "$.a: not allowed", "$.c: item not allowed"]

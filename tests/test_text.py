@@ -48,7 +48,7 @@ def test_split_multivalue(spark, given, want):
     assert one(spark, text.split_multivalue, given) == want
 
 
-def brute_head_tail(s: str, budget: int) -> tuple[str, bool]:
+def brute_head_tail(s, budget):
     s = s.strip()
     if len(s) <= budget:
         return s, False
