@@ -14,7 +14,7 @@ _counter = itertools.count()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all nodes share: spark.checkpoint.dir, or one of our own in local mode."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
