@@ -89,10 +89,10 @@ def host_verdicts(measured: DataFrame, host: str = "source", worst: float = 0.3)
     """
     rules = rule_columns()
     hosts = materialize(measured.groupBy(F.col(host)).agg(F.count("*").alias("n"), *[F.sum(c.cast("long")).alias(r) for r, c in rules.items()]), "hosts")
-    named = [x for r in rules for c, k in zip(beta_prior(hosts, r), ("mean", "strength"), strict=True) for x in [c.alias(f"{r}_{k}")]]
+    named = [c.alias(f"{r}_{k}") for r in rules for c, k in zip(beta_prior(hosts, r), ("mean", "strength"), strict=True)]
     prior = hosts.agg(*named).first()
     rates = {r: (F.col(r) + prior[f"{r}_mean"] * prior[f"{r}_strength"]) / (F.col("n") + prior[f"{r}_strength"]) for r in rules}
-    return hosts.select(host, "n", *[c.alias(f"{r}_rate") for r, c in rates.items()], F.greatest(*rates.values()).__gt__(worst).alias("host_failed"))
+    return hosts.select(host, "n", *[c.alias(f"{r}_rate") for r, c in rates.items()], (F.greatest(*rates.values()) > worst).alias("host_failed"))
 
 
 def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", keep_text: bool = True) -> DataFrame:
