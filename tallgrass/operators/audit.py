@@ -112,3 +112,14 @@ def broken_checkpoints(states: DataFrame) -> DataFrame:
     """Progress records with repeated ids, or ids both completed and failed."""
     repeated = lambda c: F.size(F.array_distinct(c)) != F.size(c)
     return states.where(repeated("completed_ids") | repeated("failed_ids") | F.arrays_overlap("completed_ids", "failed_ids"))
+
+
+def resume_conflicts(old: DataFrame, new: DataFrame, aliases: dict[str, str] | None = None, name: str = "name", value: str = "value") -> DataFrame:
+    """Settings (name, value) that an earlier run recorded and a resumed one would change.
+
+    Settings that the old record lacks don't count; values that ``aliases`` maps to one are equal.
+    """
+    mapped = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), F.col(c)), F.col(c)) if aliases else F.col(c)
+    x = old.select(name, F.col(value).alias("old"))
+    y = new.select(name, F.col(value).alias("new"))
+    return x.join(y, name, "left").where(~mapped("old").eqNullSafe(mapped("new")))

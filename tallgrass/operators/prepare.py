@@ -70,3 +70,10 @@ def prepare(df: DataFrame, max_chars: int = 12_000, ascii_only: bool = False) ->
 
 def preparation_report(prepared: DataFrame) -> DataFrame:
     return prepared.agg(F.count("*").alias("rows"), F.count_if("input_truncated").alias("truncated_rows"), F.max("included_char_count").alias("max_chars"))
+
+
+def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The first ``n`` rows by an input ordinal."""
+    if n <= 0:
+        raise ValueError("a limit is above zero")
+    return df.orderBy(order).limit(n)

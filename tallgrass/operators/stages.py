@@ -116,3 +116,24 @@ def reusable_job(jobs: DataFrame, requests: DataFrame, model: str) -> DataFrame:
     rows = jobs.where((F.col("model") == model) & ~F.coalesce(F.col("consumed"), F.lit(False))).select("job_pos", "name", F.explode("requests").alias("custom_id", "digest"))
     held = rows.join(requests, ["custom_id", "digest"], "left_semi").groupBy("job_pos", "name").agg(F.count_distinct("custom_id").alias("held"))
     return held.join(F.broadcast(n), F.col("held") == F.col("n")).select("job_pos", "name").orderBy(F.desc("job_pos")).limit(1)
+
+
+def progress(results: DataFrame, id_column: str = "custom_id") -> DataFrame:
+    """(id, state) of every result: completed if any try succeeded, else failed. The result table is the only record."""
+    ok = F.bool_or(F.coalesce(F.col("request_status"), F.lit(SUCCEEDED)) == SUCCEEDED)
+    return results.groupBy(F.col(id_column).alias("id")).agg(F.when(ok, "completed").otherwise("failed").alias("state"))
+
+
+def run_status(stage1: DataFrame, stage2: DataFrame, issues: DataFrame, expected_issues: int | None = None) -> DataFrame:
+    """(part, value, rows): issues and pairs by status, pairs by verdict, results by relevance, and what is pending.
+
+    Pending is null where the expected number isn't known, and never below zero.
+    """
+    count = lambda df, part, c: df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("rows")).select(F.lit(part).alias("part"), "value", "rows")
+    done = lambda df: df.where(F.col("request_status") == SUCCEEDED)
+    pairs = explode_pairs(stage1, strict=False)
+    left = pending(pairs, stage2).agg(F.count("*").alias("rows")).select(F.lit("pending").alias("part"), F.lit("pairs").alias("value"), "rows")
+    open_issues = done(stage1).agg(F.greatest(F.lit(0).cast("long"), F.lit(expected_issues).cast("long") - F.count("*")).alias("rows"))
+    open_issues = open_issues.select(F.lit("pending").alias("part"), F.lit("issues").alias("value"), F.when(F.lit(expected_issues is not None), F.col("rows")).alias("rows"))
+    out = count(stage1, "stage1", "request_status").unionByName(count(stage2, "stage2", "request_status")).unionByName(count(done(stage2), "verdict", "verdict"))
+    return out.unionByName(count(issues, "relevance", "relevant_to_pattern_study")).unionByName(left).unionByName(open_issues)

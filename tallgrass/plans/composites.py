@@ -125,7 +125,7 @@ def retrieval_benchmark(scored: DataFrame, gold: DataFrame, names: Sequence[str]
     recall = due.where("pattern is not null").groupingSets([["config"], ["config", "pattern"], ["config", "family"]], "config", "pattern", "family").agg(F.count("*").alias("positives"), F.count_if(hit).alias("hits"), F.bool_and(hit).alias("complete"))
     per_issue = due.groupBy("config", *KEY).agg(F.count_if(F.col("pattern").isNotNull() & ~hit).alias("misses"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("fallback_used").alias("fell"))
     totals = per_issue.groupBy("config").agg(F.sum("misses").alias("misses"), F.avg("size").alias("mean_shortlist"), F.sum("tokens").alias("tokens"), F.avg(F.col("fell").cast("int")).alias("fallback_rate"))
-    why = rows.groupBy("config", F.explode("fallback_reasons").alias("reason")).agg(F.count("*").alias("issues"))
+    why = rows.select("config", F.explode("fallback_reasons").alias("reason")).groupBy("config", "reason").agg(F.count("*").alias("issues"))
     folds = per_issue.withColumn("fold", F.concat_ws("#", *KEY)).where(F.col("misses").isNotNull())
     return {"recall": recall.withColumn("recall", metrics.ratio(F.col("hits"), F.col("positives"))), "totals": totals, "fallbacks": why, "leave_one_out": metrics.leave_one_out(folds, "fold", "config", "misses", "size", "tokens"), "recommended": metrics.recommend(totals, F.col("misses") == 0, F.col("fallback_rate") > 0, "mean_shortlist", "tokens", "config")}
 
@@ -174,3 +174,13 @@ def quality_checks(stage2: DataFrame) -> DataFrame:
     good = F.col("request_status") == SUCCEEDED
     facts = stage2.agg(metrics.ratio(F.count_if(good & (F.col("confidence") == "high")), F.count_if(good)).alias("high"), F.count_if(good & F.col("verdict").isin("yes", "uncertain") & (F.coalesce("evidence_text", F.lit("")) == "")).alias("bare"))
     return facts.select(F.explode(F.array(F.struct(F.lit("high_share").alias("check"), (F.coalesce("high", F.lit(0.0)) < 0.8).alias("passed")), F.struct(F.lit("evidence_given").alias("check"), (F.col("bare") == 0).alias("passed")))).alias("x")).select("x.*")
+
+
+def fallback_report(actual: DataFrame, without: DataFrame, gold: DataFrame) -> DataFrame:
+    """Per reason to fall back: issues affected, entries added, gold pairs protected and tokens spent, against the
+    shortlists of a configuration that doesn't fall back. Both tables: the key, candidates, fallback_reasons, tokens."""
+    both = actual.join(without.select(*KEY, F.col("candidates").alias("_other"), F.col("tokens").alias("_tokens")), list(KEY))
+    both = both.select(*KEY, "fallback_reasons", F.array_except("candidates", "_other").alias("added"), (F.col("tokens") - F.col("_tokens")).alias("extra"))
+    saved = both.select(*KEY, F.explode("added").alias("pattern")).join(gold.select(*PAIR_KEY).distinct(), list(PAIR_KEY), "left_semi").groupBy(*KEY).agg(F.count("*").alias("protected"))
+    rows = both.join(saved, list(KEY), "left").select(F.explode("fallback_reasons").alias("reason"), "added", "extra", F.coalesce("protected", F.lit(0)).alias("protected"))
+    return rows.groupBy("reason").agg(F.count("*").alias("issues"), F.sum("protected").alias("protected"), F.sum(F.size("added")).alias("added"), F.sum("extra").alias("tokens"))

@@ -124,3 +124,9 @@ def schema_from(path: str) -> dict:
     """A JSON schema of the driver's own."""
     with open(path, encoding="utf-8") as f:
         return json.load(f)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, modified, sha256) of files, hashed where they are read."""
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))

@@ -70,3 +70,15 @@ def write_once(df: DataFrame, path: str) -> None:
         write_table(df, path)
     elif not same_rows(df, df.sparkSession.read.parquet(path)):
         raise Violation(f"{path} was written with other settings")
+
+
+def save_manifest(spark: SparkSession, folder: str, documents: dict[str, object], tables: dict[str, DataFrame]) -> None:
+    """What a run started from: snapshots and audits as tables, settings and digests as documents. Written once."""
+    for name, df in tables.items():
+        write_once(df, f"{folder}/{name}")
+    for name, value in documents.items():
+        path = f"{folder}/{name}.json"
+        if not exists(spark, path):
+            write_document(spark, path, value)
+        elif read_document(spark, path) != json.loads(json.dumps(value, default=str)):
+            raise Violation(f"{path} was written with other settings")

@@ -383,3 +383,51 @@ def test_run_and_compare(spark):
     assert pairs["stage1"].first()["recall"] == 1 and pairs["binary"].first()["tp"] == 1
     assert composites.evaluate_issues(human, out["issues"])["binary"].first()["n"] == 1
     assert composites.quality_checks(out["stage2"]).where("not passed").count() == 0
+
+
+def test_progress_and_status(spark):
+    s1 = spark.createDataFrame([("r", "1", "c1", "succeeded", '["A","B"]'), ("r", "2", "c2", "errored", "[]"), ("r", "2", "c2", "succeeded", "[]")], "repository string, issue_number string, custom_id string, request_status string, candidates string")
+    assert rows(stages.progress(s1)) == [("c1", "completed"), ("c2", "completed")]
+    s2 = spark.createDataFrame([("r", "1", "A", "succeeded", "yes")], "repository string, issue_number string, pattern string, request_status string, verdict string")
+    final = spark.createDataFrame([("r", "1", "yes")], "repository string, issue_number string, relevant_to_pattern_study string")
+    got = {(r["part"], r["value"]): r["rows"] for r in stages.run_status(s1, s2, final, 5).collect()}
+    assert got[("pending", "pairs")] == 1 and got[("pending", "issues")] == 3 and got[("verdict", "yes")] == 1 and got[("stage1", "errored")] == 1
+    assert {(r["part"], r["value"]): r["rows"] for r in stages.run_status(s1, s2, final).collect()}[("pending", "issues")] is None
+
+
+def test_resume_guard_and_limits(spark):
+    old = spark.createDataFrame([("provider", "local"), ("model", "m"), ("seed", "1")], "name string, value string")
+    new = spark.createDataFrame([("provider", "local_server"), ("model", "m2"), ("fresh", "x")], "name string, value string")
+    assert sorted(r["name"] for r in audit.resume_conflicts(old, new, {"local": "local_server"}).collect()) == ["model", "seed"]
+    df = spark.createDataFrame([(3,), (1,), (2,)], "o int")
+    assert [r["o"] for r in prepare.first_rows(df, 2, "o").collect()] == [1, 2]
+    with pytest.raises(ValueError, match="above zero"):
+        prepare.first_rows(df, 0, "o")
+
+
+def test_manifest_and_digests(spark, tmp_path):
+    p = tmp_path / "a.txt"
+    p.write_bytes(b"abc")
+    got = files.file_digests(spark, str(p)).first()
+    assert (got["bytes"], got["sha256"]) == (3, __import__("hashlib").sha256(b"abc").hexdigest())
+    folder, df = f"{tmp_path}/m", spark.createDataFrame([(1,)], "i int")
+    for _ in range(2):
+        sinks.save_manifest(spark, folder, {"run": {"model": "m", "n": 1}}, {"input": df})
+    with pytest.raises(audit.Violation):
+        sinks.save_manifest(spark, folder, {"run": {"model": "other"}}, {"input": df})
+
+
+def test_fallback_report(spark):
+    kind = "repository string, issue_number string, candidates array<string>, fallback_reasons array<string>, tokens long"
+    actual = spark.createDataFrame([("r", "1", ["A", "B", "C"], ["low_confidence", "no_lexical_anchor"], 30), ("r", "2", ["A"], [], 5)], kind)
+    without = spark.createDataFrame([("r", "1", ["A"], [], 10), ("r", "2", ["A"], [], 5)], kind)
+    gold = spark.createDataFrame([("r", "1", "B"), ("r", "2", "A")], "repository string, issue_number string, pattern string")
+    assert rows(composites.fallback_report(actual, without, gold)) == [("low_confidence", 1, 1, 2, 20), ("no_lexical_anchor", 1, 1, 2, 20)]
+    scored = spark.createDataFrame([("r", "1", [0.9, 0.1, 0.0], [0], 10), ("r", "2", [0.0, 0.0, 0.2], [], 4)], "repository string, issue_number string, scores array<double>, lexical array<int>, tokens long")
+    gold = spark.createDataFrame([("r", "1", "A"), ("r", "2", "A")], gold.schema)
+    out = composites.retrieval_benchmark(scored, gold, ["A", "B", "C"], [["B", "C"]], {"all": retrieval.Config(1, 2), "few": retrieval.Config(1, 2, fall_back_to_all=False, require_anchor=False, confidence=0.0)})
+    totals = {r["config"]: r for r in out["totals"].collect()}
+    assert totals["all"]["misses"] == 0 and totals["few"]["misses"] == 1 and out["recommended"].first()["config"] == "all"
+    assert out["leave_one_out"].count() == 2 and out["recall"].where("config = 'all' and pattern is null and family is null").first()["recall"] == 1
+    prompts = spark.createDataFrame([("legacy", "stage1", "x" * 400), ("short", "stage1", "x" * 100)], "profile string, stage string, text string")
+    assert {r["profile"]: r["reduction_percent"] for r in composites.token_benchmark(prompts).collect()} == {"legacy": 0.0, "short": 75.0}
