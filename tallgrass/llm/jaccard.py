@@ -1,0 +1,128 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, joined over ordered prefixes."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, materialize, ready
+
+_SAMPLE = 4_000  # documents that tell which shingles are common
+_COMMON = 200_000  # shingles that the order puts last
+_SMALL = 2_000_000  # row numbers, or shingles, that are broadcast; more are shuffled
+
+
+def shingles(raw: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct hashes (sorted longs) of a text's runs of ``width`` words in ASCII lower case; a shorter text is one run."""
+    words = raw.lower().split() if raw else []
+    runs = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, seed) for x in runs]), dtype=">i8").astype(np.int64))
+
+
+def least_shared(n: int, percent: int) -> int:
+    """How many of ``n`` elements a set shares at least with one that is similar enough."""
+    return max(1, -(-percent * n // 100))
+
+
+def _sets(common: np.ndarray, width: int, percent: int, whole: bool):
+    """Per text: n, told (identity of the set), and its shingles or only their prefix.
+
+    Sets at ``percent`` or more share an element of their first n - least_shared(n) + 1 ones under any
+    order that all sets follow. Here common shingles (``common``, commonest last) come after all others.
+    """
+    at = np.argsort(common)
+    ordered = common[at]
+
+    def of(raw: bytes | None) -> tuple[int, bytes, np.ndarray]:
+        x = shingles(raw, width)
+        n, told = len(x), xxhash.xxh3_128_digest(x.tobytes())
+        if whole:
+            return n, told, x
+        if len(ordered):
+            i = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
+            x = x[np.argsort(np.where(ordered[i] == x, at[i] + 1, 0), kind="stable")]
+        return n, told, x[: n - least_shared(n, percent) + 1]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([of(t) for t in texts], columns=["n", "told", "x"])
+
+    return F.pandas_udf(run, "n int, told binary, x array<bigint>")
+
+
+def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    return rows.join(F.broadcast(ids) if ids.count() <= _SMALL else ids, "_tg_row", how)
+
+
+def _links(pairs: DataFrame, stored: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar enough."""
+    members = pairs.select(F.explode(F.array("u", "v")).alias("_tg_row")).distinct()
+    full = _only(stored, members, "left_semi").select("_tg_row", _sets(np.empty(0, np.int64), width, percent, True)(F.col(text).cast("binary")).alias("s"))
+    full = materialize(full.select("_tg_row", "s.x"), "shingles")
+    if (full.agg(F.sum(F.size("x"))).first()[0] or 0) <= _SMALL:
+        full = F.broadcast(full)
+    a, b = (full.select(F.col("_tg_row").alias(k), F.col("x").alias(f"x_{k}")) for k in "uv")
+    met = pairs.join(a, "u").join(b, "v")
+    both = F.size(F.array_intersect("x_u", "x_v"))
+    return met.where(100 * both >= percent * (F.size("x_u") + F.size("x_v") - both)).select("u", "v")
+
+
+def similar_links(stored: DataFrame, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets (told, node) of a stored table with _tg_row, and links (u, v) of nodes.
+
+    The links join the nodes exactly as all pairs at ``percent`` or more do. First each posting list's
+    members are held against its smallest set; then, of what these links leave apart, all pairs of a
+    list that by size and place can be similar enough. Each pair is verified over its whole sets.
+    """
+    ready(stored.sparkSession)
+    raw = F.col(text).cast("binary")
+    every = max(1, stored.count() // _SAMPLE)
+    picked = stored.where(F.pmod(F.xxhash64("_tg_row"), F.lit(every)) == 0).select(_sets(np.empty(0, np.int64), width, percent, True)(raw).alias("s"))
+    counts = picked.select("s.*").groupBy("told").agg(F.first("x").alias("x")).select(F.explode("x").alias("x")).groupBy("x").count().where("count >= 3")
+    common = counts.orderBy(F.desc("count"), "x").limit(_COMMON).toPandas()["x"].to_numpy(dtype=np.int64)[::-1].copy()
+
+    found = stored.select("_tg_row", _sets(common, width, percent, False)(raw).alias("s"))
+    sets = materialize(found.select("_tg_row", "s.*"), "prefixes")
+    nodes = materialize(sets.groupBy("told").agg(F.min("_tg_row").alias("node"), F.first("n").alias("n"), F.first("x").alias("x")), "nodes")
+    postings = nodes.select("node", "n", F.posexplode("x").alias("pos", "x"))
+    lists = postings.groupBy("x").agg(F.count("*").alias("many"), F.min(F.struct("n", "node", "pos")).alias("head")).where("many > 1")
+    shared = materialize(postings.join(lists.select("x", "head"), "x"), "shared")
+
+    def apart(n_u, pos_u, n_v, pos_v):
+        """Whether this can be the first shingle of both in the order: all others that both have lie behind it."""
+        return (100 + percent) * F.least(n_u - pos_u, n_v - pos_v) >= percent * (n_u + n_v)
+
+    c = F.col
+    star = shared.where(c("node") != c("head.node")).where(apart(c("n"), c("pos"), c("head.n"), c("head.pos")))
+    star = materialize(star.select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")).distinct(), "star")
+    near = materialize(_links(star, stored, text, width, percent), "links")
+
+    roots = materialize(components(near), "roots")
+    rooted = shared.join(roots, "node", "left").select("x", "pos", "n", "node", F.coalesce("root", "node").alias("root"))
+    a, b = (rooted.select("x", *[c(k).alias(f"{k}_{side}") for k in ("pos", "n", "node", "root")]) for side in "uv")
+    pairs = a.join(b, "x").where((c("node_u") < c("node_v")) & (c("root_u") != c("root_v")) & apart(c("n_u"), c("pos_u"), c("n_v"), c("pos_v")))
+    pairs = materialize(pairs.select(c("node_u").alias("u"), c("node_v").alias("v")).distinct().join(star, ["u", "v"], "left_anti"), "pairs")
+    return sets.select("_tg_row", "told").join(nodes.select("told", "node"), "told"), near.unionByName(_links(pairs, stored, text, width, percent))
+
+
+def drop_similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """Keep one row of each group that pairs with a Jaccard similarity of ``percent`` or more connect.
+
+    Sets are the distinct ``width``-word runs. The row of the smallest key stays, and of rows with that
+    key the one first in the table; null and blank texts are equal, null keys come last.
+    """
+    stored = materialize(df.withColumn("_tg_row", F.monotonically_increasing_id()), "texts")
+    classes, links = similar_links(stored, text, width, percent)
+    roots = materialize(components(links), "roots")
+    rooted = classes.join(roots, "node", "left").select("_tg_row", F.coalesce("root", "node").alias("root"))
+    rooted = rooted.join(stored.select("_tg_row", F.col(key).alias("_tg_key")), "_tg_row")
+    order = F.struct(F.col("_tg_key").isNull(), F.col("_tg_key"), F.col("_tg_row"))
+    rooted = materialize(rooted.select("root", "_tg_row", order.alias("o")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o._tg_row").alias("_tg_row"))
+    gone = materialize(rooted.select("_tg_row").join(first, "_tg_row", "left_anti"), "gone")
+    return _only(stored, gone, "left_anti").select(*df.columns)
