@@ -115,6 +115,31 @@ def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", keep_
     return joined.withColumns({"base_failed": base, "kept": ~base & ~(F.col("_tg_failed") & soft)}).drop("_tg_host", "_tg_failed")
 
 
+def clear_failures() -> dict[str, Column]:
+    """Which soft rules a measured document fails by half as much again as the rule allows."""
+    words = F.col("n_words")
+    return {
+        "symbols": 20 * F.col("n_symbols") > 9 * words,
+        "lines": 20 * F.col("n_dup_lines") > 3 * words,
+        "lengths": (3 * F.col("word_chars") < 4 * words) | (2 * F.col("word_chars") > 45 * words),
+    }
+
+
+def keep_graded(df: DataFrame, text: str = "text", host: str = "source", low: float = 0.02) -> DataFrame:
+    """The rows of ``df`` that pass the base rules and every soft rule, hosts deciding only the borderline.
+
+    A document that clearly fails a soft rule goes wherever it stands; one that just fails it stays only
+    on a host that did not fail and whose shrunk rate for that rule is at most ``low``.
+    """
+    measured = materialize(with_measures(df, text), "measured")
+    rules, clear = rule_columns(), clear_failures()
+    hosts = host_verdicts(measured, host).select(F.col(host).alias("_tg_host"), (~F.col("host_failed")).alias("_tg_fair"), *[(F.col(f"{r}_rate") <= low).alias(f"_tg_{r}") for r in SOFT])
+    bad = rules["short"] | rules["repetitive"]
+    for r in SOFT:
+        bad = bad | (rules[r] & (clear[r] | ~(F.col("_tg_fair") & F.col(f"_tg_{r}"))))
+    return measured.join(hosts, measured[host].eqNullSafe(hosts["_tg_host"])).where(~bad).select(*df.columns)
+
+
 def keep_quality(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``df`` that are kept."""
     return with_verdicts(df, text, host).where("kept").select(*df.columns)
