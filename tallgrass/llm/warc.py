@@ -94,6 +94,10 @@ class Broken(Exception):
     """A record that fails a check."""
 
 
+class Partial(Broken):
+    """A member that breaks off after records that were yielded."""
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     """Headers, payload and whole length of the record that ``data`` starts with; raises Broken."""
     end = data.find(b"\r\n\r\n")
@@ -147,18 +151,22 @@ class _File:
             start += len(block) - longest + 1
         return self.size
 
-    def member(self, start: int) -> tuple[bytes, int]:
-        """The gzip member at ``start`` and its compressed length; raises Broken."""
-        z, parts, at = zlib.decompressobj(31), [], start
-        try:
-            while not z.eof:
-                if not (block := self.read(at, _READ)):
-                    raise Broken("member is cut off")
+    def member(self, start: int) -> tuple[bytes, int, str]:
+        """The gzip member at ``start``, its compressed length and its fault; a broken one gives what came out before."""
+        z, parts, at, step = zlib.decompressobj(31), [], start, _READ
+        while not z.eof:
+            if not (block := self.read(at, step)):
+                return b"".join(parts), at - start, "member is cut off"
+            before = z.copy()
+            try:
                 parts.append(z.decompress(block))
-                at += len(block)
-        except zlib.error as e:
-            raise Broken(f"member fails: {e}") from None
-        return b"".join(parts), at - len(z.unused_data) - start
+            except zlib.error as e:
+                if step == 1:
+                    return b"".join(parts), at - start, f"member fails: {e}"
+                z, step = before, 1  # byte by byte, all that comes out before the fault
+                continue
+            at += len(block)
+        return b"".join(parts), at - len(z.unused_data) - start, ""
 
     def plain(self, start: int) -> tuple[dict[str, str], bytes, int]:
         """The uncompressed record at ``start``, read as far as its length says; raises Broken."""
@@ -173,6 +181,29 @@ class _File:
         return parse(self.read(start, max(end, 0) + 8 + int(length)))
 
 
+def _records(data: bytes, broken: str) -> tuple[list[tuple[dict[str, str], bytes]], str]:
+    """All records in a member's data that pass their checks, and the first fault, by the bytes of the data.
+
+    After a fault the next version line is tried. In a ``broken`` member the record at the break never
+    counts, and those before it only if they have a digest or the member is just cut off.
+    """
+    found, at, fault = [], 0, ""
+    while at < len(data):
+        try:
+            headers, payload, used = parse(data[at:] if at else data)
+        except Broken as e:
+            after = data.find(b"WARC/1.", at + 1)
+            after = after if after >= 0 else len(data)
+            fault = fault or f"{e} (bytes {at} to {after} of the member's data)"
+            at = after
+            continue
+        at += used
+        told = any(headers.get(f"WARC-{k}-Digest", "").startswith("sha1:") for k in (("Block",) if headers["WARC-Type"] == "revisit" else ("Block", "Payload")))
+        if not broken or (at < len(data) and (told or "cut off" in broken)):
+            found.append((headers, payload))
+    return found, fault
+
+
 def salvage(source: object) -> Iterator[tuple[int, int, str, dict[str, str], bytes]]:
     """(offset, length, fault, headers, payload) of every record that passes its checks, and of every gap.
 
@@ -185,19 +216,25 @@ def salvage(source: object) -> Iterator[tuple[int, int, str, dict[str, str], byt
         try:
             start = file.read(at, 7)
             if start[:3] == b"\x1f\x8b\x08":
-                data, length = file.member(at)
-                inside = 0
-                while inside < len(data):
-                    headers, payload, used = parse(data[inside:] if inside else data)
-                    found.append((at, length, "", headers, payload))
-                    inside += used
+                data, length, broken = file.member(at)
+                good, bad = _records(data, broken)
+                found = [(at, length, "", headers, payload) for headers, payload in good]
+                if (broken or bad) and not good:
+                    raise Broken(broken or bad)
+                if broken:
+                    if gap >= 0:
+                        yield gap, at - gap, fault, {}, b""
+                    yield from found
+                    raise Partial(broken)
+                if bad:
+                    found.append((at, length, bad, {}, b""))
             elif start == b"WARC/1.":
                 headers, payload, length = file.plain(at)
                 found.append((at, length, "", headers, payload))
             else:
                 raise Broken("neither a member nor a version line")
         except Broken as e:
-            if gap < 0:
+            if gap < 0 or isinstance(e, Partial):
                 gap, fault = at, str(e)
             at = file.find((b"\x1f\x8b\x08", b"WARC/1."), at + 1)
             continue
