@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, own_columns
 
-#: Rules of a document, and of those the soft ones that count only against a document of a failed host.
+#: Rules of a document, and of those the soft ones, in which the host has a say.
 RULES = ("short", "repetitive", "symbols", "lines", "lengths")
 SOFT = ("symbols", "lines", "lengths")
 _POS = 20  # low bits of a packed window that hold its position
 _NO_LONGS = "cast(array() as array<bigint>)"
 
 
+def held(df: DataFrame, text: str, host: str) -> DataFrame:
+    """``df`` with its columns out of the way of added ones: _tg_own (all of them), _tg_text, _tg_host_of."""
+    every = own_columns(df)
+    return df.select(F.struct(*every).alias("_tg_own"), df[text].alias("_tg_text"), df[host].alias("_tg_host_of"))
+
+
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) of the whole text; null counts as empty.
 
@@ -95,26 +101,6 @@ def host_verdicts(measured: DataFrame, host: str = "source", worst: float = 0.3)
     return hosts.select(host, "n", *[c.alias(f"{r}_rate") for r, c in rates.items()], (F.greatest(*rates.values()) > worst).alias("host_failed"))
 
 
-def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", keep_text: bool = True) -> DataFrame:
-    """All columns of ``df`` (without ``text`` if not ``keep_text``) with the measures, ``base_failed`` and ``kept``.
-
-    kept: the document passes both base rules, and doesn't fail a soft rule on a host that failed.
-    Null texts count as empty (short, so not kept); repeated rows are judged alike; columns of ``df``
-    with the names of added ones are replaced.
-    """
-    df = df.drop("base_failed", "kept")
-    measured = with_measures(df, text)
-    measured = materialize(measured if keep_text else measured.drop(text), "measured")
-    rules = rule_columns()
-    hosts = host_verdicts(measured, host).select(F.col(host).alias("_tg_host"), F.col("host_failed").alias("_tg_failed"))
-    soft = F.lit(False)
-    for r in SOFT:
-        soft = soft | rules[r]
-    base = rules["short"] | rules["repetitive"]
-    joined = measured.join(hosts, measured[host].eqNullSafe(hosts["_tg_host"]))
-    return joined.withColumns({"base_failed": base, "kept": ~base & ~(F.col("_tg_failed") & soft)}).drop("_tg_host", "_tg_failed")
-
-
 def clear_failures() -> dict[str, Column]:
     """Which soft rules a measured document fails by half as much again as the rule allows."""
     words = F.col("n_words")
@@ -125,24 +111,37 @@ def clear_failures() -> dict[str, Column]:
     }
 
 
-def keep_graded(df: DataFrame, text: str = "text", host: str = "source", low: float = 0.02) -> DataFrame:
-    """The rows of ``df`` that pass the base rules and every soft rule, hosts deciding only the borderline.
+def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", keep_text: bool = True, low: float = 0.02) -> DataFrame:
+    """All columns of ``df`` (without ``text`` if not ``keep_text``) with the measures, ``base_failed`` and ``kept``.
 
-    A document that clearly fails a soft rule goes wherever it stands; one that just fails it stays only
-    on a host that did not fail and whose shrunk rate for that rule is at most ``low``.
+    kept: the document passes both base rules and, in its host's light, every soft rule. One that
+    clearly fails a soft rule (see ``clear_failures``) goes wherever it stands. One that just fails it
+    goes if the host failed as a whole, or if the host's shrunk rate for that rule is over ``low``: it
+    is then one of many there, and not an odd page of a clean host.
+    Null texts count as empty (short, so not kept); a null host is a host of its own; repeated rows are
+    judged alike; an empty table gives an empty result; columns of ``df`` with the names of added ones
+    are replaced.
     """
-    measured = materialize(with_measures(df, text), "measured")
+    df = df.drop("base_failed", "kept")
+    measured = with_measures(df, text)
+    measured = materialize(measured if keep_text else measured.drop(text), "measured")
     rules, clear = rule_columns(), clear_failures()
-    hosts = host_verdicts(measured, host).select(F.col(host).alias("_tg_host"), (~F.col("host_failed")).alias("_tg_fair"), *[(F.col(f"{r}_rate") <= low).alias(f"_tg_{r}") for r in SOFT])
-    bad = rules["short"] | rules["repetitive"]
+    hosts = host_verdicts(measured, host)
+    hosts = hosts.select(F.col(host).alias("_tg_host"), *[(F.col("host_failed") | (F.col(f"{r}_rate") > low)).alias(f"_tg_{r}") for r in SOFT])
+    base, soft = rules["short"] | rules["repetitive"], F.lit(False)
     for r in SOFT:
-        bad = bad | (rules[r] & (clear[r] | ~(F.col("_tg_fair") & F.col(f"_tg_{r}"))))
-    return measured.join(hosts, measured[host].eqNullSafe(hosts["_tg_host"])).where(~bad).select(*df.columns)
+        soft = soft | (rules[r] & (clear[r] | F.col(f"_tg_{r}")))
+    joined = measured.join(hosts, measured[host].eqNullSafe(hosts["_tg_host"]))
+    return joined.withColumns({"base_failed": base, "kept": ~base & ~soft}).drop("_tg_host", *[f"_tg_{r}" for r in SOFT])
 
 
 def keep_quality(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``df`` that are kept."""
-    return with_verdicts(df, text, host).where("kept").select(*df.columns)
+    """The rows of ``df`` that ``with_verdicts`` keeps, with its columns as they are, whatever their names.
+
+    Null and blank texts go, as they are short; repeated rows stay or go together; an empty table stays empty.
+    """
+    judged = with_verdicts(held(df, text, host), "_tg_text", "_tg_host_of", keep_text=False)
+    return judged.where("kept").select("_tg_own.*")
 
 
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +170,14 @@ h AS (SELECT source, count(*)::DOUBLE AS n, sum(short::INT)::DOUBLE AS f1, sum(r
 u AS (SELECT source, n, rule, fails FROM h UNPIVOT (fails FOR rule IN (f1, f2, f3, f4, f5))),
 p AS (SELECT rule, sum(fails) / sum(n) AS mean, var_pop(fails / n) AS spread FROM u GROUP BY rule),
 k AS (SELECT rule, mean, greatest(2.0, least(10000.0, CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE 10000.0 END)) AS strength FROM p),
-b AS (SELECT source, bool_or((fails + mean * strength) / (n + strength) > 0.3) AS host_failed FROM u JOIN k USING (rule) GROUP BY source)
+h2 AS (SELECT source, rule, (fails + mean * strength) / (n + strength) AS rate FROM u JOIN k USING (rule)),
+b AS (SELECT source, bool_or(rate > 0.3) AS host_failed, max(rate) FILTER (rule = 'f3') > 0.02 AS many3, max(rate) FILTER (rule = 'f4') > 0.02 AS many4,
+  max(rate) FILTER (rule = 'f5') > 0.02 AS many5 FROM h2 GROUP BY source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, short OR repetitive AS base_failed,
-  NOT (short OR repetitive) AND NOT (host_failed AND (symbols OR lines OR lengths)) AS kept
+  NOT (short OR repetitive)
+  AND NOT (symbols AND (20 * n_symbols > 9 * n_words OR host_failed OR many3))
+  AND NOT (lines AND (20 * n_dup_lines > 3 * n_words OR host_failed OR many4))
+  AND NOT (lengths AND (3 * word_chars < 4 * n_words OR 2 * word_chars > 45 * n_words OR host_failed OR many5)) AS kept
 FROM f JOIN b ON f.source IS NOT DISTINCT FROM b.source
 """

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, ready
+from .common import components, materialize, own_columns, ready
 
 _STEP = 1 << 15
 
@@ -67,7 +69,8 @@ def near_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     1 from the odd one. Whatever meets a variant's radius-1 member is at most 3 bits from it, so each
     variant links its members to the smallest such member: links stay linear in the variants, however
     many fingerprints crowd together, and a variant has at most 2081 members. Links are verified by
-    their bit count all the same.
+    their bit count all the same. Null fingerprints have no links; repeated ones are one node; an empty
+    table has none.
 
     Before that, fingerprints that agree with no other one under any of 20 masks of three blocks out of
     six can have no partner in the radius; counting keys finds them, and they emit nothing.
@@ -114,15 +117,164 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     return near_components(fps, key)
 
 
-def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keep one row of each near-duplicate component: that of its smallest key, and of its rows with
-    that key the one first in the table. Components without any key keep one row as well."""
-    rows = materialize(with_fingerprint(df.withColumn("_tg_row", F.monotonically_increasing_id()), text, "_tg_fp"), "simhash")
-    fps = rows.select("_tg_row", F.col(key).alias("_tg_key"), "_tg_fp")
-    found = near_components(fps, "_tg_key", "_tg_fp")
+@dataclass(frozen=True)
+class Codes:
+    """Several short SimHash codes of a text's set of shingles: ``tables`` codes of ``bits`` bits each."""
+
+    width: int
+    percent: int
+    bits: int
+    tables: int
+
+    @staticmethod
+    def differing(percent: int) -> float:
+        """Share of SimHash bits in which two sets of this Jaccard similarity differ (equal sizes)."""
+        j = percent / 100
+        return math.acos(min(1.0, 2 * j / (1 + j))) / math.pi
+
+    @staticmethod
+    def of(rows: int, width: int = 5, percent: int = 80, recall: float = 0.95) -> Codes:
+        """Bits and tables for so many rows.
+
+        A variant should hold other texts by chance in few cases only, so codes get 10 bits more than
+        the rows need to be numbered. Two sets at ``percent`` meet in a table if their codes differ in 2
+        bits at most; there are enough tables that all but 1 - ``recall`` of such pairs meet in one.
+        More similar pairs meet more surely.
+        """
+        bits = min(56, max(28, math.ceil(math.log2(max(rows, 2))) + 10))
+        p = Codes.differing(percent)
+        meets = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(3))
+        return Codes(width, percent, bits, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
+
+    @property
+    def most_bits(self) -> int:
+        """Bits over all tables in which no more than one in 10^7 pairs at ``percent`` differ."""
+        n, p = self.bits * self.tables, self.differing(self.percent)
+        return math.ceil(n * p + 5.2 * math.sqrt(n * p * (1 - p)))
+
+
+def shingles(raw: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct hashes (sorted longs) of a text's runs of ``width`` words in ASCII lower case; a shorter text is one run."""
+    words = raw.lower().split() if raw else []
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], dtype=np.uint64).view(np.int64)
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts, n = np.append(0, ends[:-1] + 1).tolist(), len(words) - width + 1
+    return np.unique(np.frombuffer(b"".join([digest(joined[s:e], seed) for s, e in zip(starts[:n], ends[width - 1 :].tolist(), strict=True)]), dtype=">i8").astype(np.int64))
+
+
+def _mixed(x: np.ndarray, word: int) -> np.ndarray:
+    """The ``word``-th derived hash of each hash (the finaliser of SplitMix64)."""
+    z = x + np.uint64((0x9E3779B97F4A7C15 * (word + 1)) & ((1 << 64) - 1))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def simhash_codes(x: np.ndarray, c: Codes) -> list[int]:
+    """The codes of a set of shingles, each with its table's number above its bits."""
+    words = -(-c.bits * c.tables // 64)
+    votes, rows = np.zeros(words * 64, dtype=np.int64), 255
+    for i in range(0, len(x), _STEP):
+        part = x[i : i + _STEP].view(np.uint64)
+        bits = np.unpackbits(np.stack([_mixed(part, w) for w in range(words)], axis=1).view(np.uint8), axis=1)
+        whole = len(bits) // rows * rows
+        votes += bits[:whole].reshape(-1, rows, words * 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        votes += bits[whole:].sum(axis=0, dtype=np.uint8)
+    ones = (votes * 2 > len(x))[: c.bits * c.tables].reshape(c.tables, c.bits)
+    values = ones @ (np.int64(1) << np.arange(c.bits, dtype=np.int64))
+    return ((np.arange(c.tables, dtype=np.int64) << c.bits) | values).tolist()
+
+
+def _sketches(c: Codes):
+    """Per text: ``told``, the identity of its set of shingles, and its codes."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingles(t, c.width) for t in texts]
+            yield pd.DataFrame({"told": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "codes": [simhash_codes(x, c) for x in sets]})
+
+    return F.pandas_udf(run, "told binary, codes array<bigint>")
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles(t, width) for t in texts])
+
+    return F.pandas_udf(run, "array<bigint>")
+
+
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table, broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def code_pairs(nodes: DataFrame, c: Codes) -> DataFrame:
+    """Pairs (u < v) of stored ``nodes`` (node, codes) that ball hashing brings together, those far apart left out.
+
+    Nodes with one code are linked to the smallest of them, by a minimum that is summed map-side, so a
+    code that a third of all nodes have is no one task's group. Each distinct code then emits its ball
+    of radius 1; codes at 2 bits or fewer meet in a variant. A variant holds at most bits + 1 codes, so
+    its group is bounded, and it links each to the first and to the one before. Pairs whose codes
+    together differ in more than ``most_bits`` are chance meetings and go.
+    """
+    codes = nodes.select("node", F.explode("codes").alias("code"))
+    reps = materialize(codes.groupBy("code").agg(F.min("node").alias("rep"), F.count("*").alias("many")), "codes")
+    alike = codes.join(reps.where("many > 1").select("code", "rep"), "code").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    ball = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(c.bits))]])
+    met = reps.select("rep", "code", F.explode(ball).alias("x")).select("rep", F.col("code").bitwiseXOR(F.col("x")).alias("variant"))
+    place = Window.partitionBy("variant").orderBy("rep")
+    linked = met.select("rep", F.first("rep").over(place).alias("first"), F.lag("rep").over(place).alias("before")).where("before < rep")
+    linked = linked.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("u"), F.col("rep").alias("v")).where("u < v")
+    pairs = materialize(alike.unionByName(linked).distinct(), "met")
+    small = _bounded(nodes.select("node", "codes"), 200_000)
+    a, b = (small.select(F.col("node").alias(k), F.col("codes").alias(f"c_{k}")) for k in "uv")
+    apart = F.aggregate(F.zip_with("c_u", "c_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(a, "u").join(b, "v").where(apart <= c.most_bits).select("u", "v")
+
+
+def similar_links(stored: DataFrame, text: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal shingle sets (_tg_row, node) of a stored table with _tg_row, and verified links (u, v) of nodes.
+
+    Pairs come from ball hashing several short SimHash codes; each is held to a Jaccard similarity of
+    ``percent`` or more of the whole sets of distinct ``width``-word runs. Of pairs right at the bound
+    some 5 in 100 are never brought together, of more similar ones fewer (see ``Codes.of``).
+    """
+    ready(stored.sparkSession)
+    c = Codes.of(stored.count(), width, percent)
+    raw = F.col(text).cast("binary")
+    sets = materialize(stored.select("_tg_row", _sketches(c)(raw).alias("s")).select("_tg_row", "s.*"), "sketches")
+    nodes = materialize(sets.groupBy("told").agg(F.min("_tg_row").alias("node"), F.first("codes").alias("codes")), "nodes")
+    pairs = materialize(code_pairs(nodes, c), "pairs")
+    members = materialize(pairs.select(F.explode(F.array("u", "v")).alias("_tg_row")).distinct(), "members")
+    full = stored.join(_bounded(members, 2_000_000), "_tg_row", "left_semi").select(F.col("_tg_row").alias("node"), _sets(width)(raw).alias("x"))
+    full = materialize(full, "shingles")
+    a, b = (full.select(F.col("node").alias(k), F.col("x").alias(f"x_{k}")) for k in "uv")
+    both = F.size(F.array_intersect("x_u", "x_v"))
+    links = pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("x_u") + F.size("x_v") - both)).select("u", "v")
+    return sets.join(nodes.select("told", "node"), "told").select("_tg_row", "node"), links
+
+
+def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """Keep one row of each group that verified pairs at a Jaccard similarity of ``percent`` or more connect.
+
+    The row of the smallest key stays, and of rows with that key the one first in the table. Null and
+    blank texts are equal to each other; a text of fewer than ``width`` words is one run; null keys come
+    last, and rows without a key are told apart by their texts like any others; repeated rows leave one;
+    an empty table stays empty. All columns stay, whatever their names.
+    """
+    own = F.struct(*own_columns(df)).alias("_tg_own")
+    stored = materialize(df.select(F.monotonically_increasing_id().alias("_tg_row"), own, df[key].alias("_tg_key"), df[text].alias("_tg_text")), "texts")
+    classes, links = similar_links(stored.select("_tg_row", "_tg_text"), "_tg_text", width, percent)
+    roots = materialize(components(links), "roots")
+    rooted = classes.join(roots, "node", "left").select("_tg_row", F.coalesce("root", "node").alias("root"))
+    rooted = rooted.join(stored.select("_tg_row", "_tg_key"), "_tg_row")
     order = F.struct(F.col("_tg_key").isNull(), F.col("_tg_key"), F.col("_tg_row"))
-    roots = found.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._tg_row").alias("_tg_row"))
-    return rows.join(roots, "_tg_row", "left_semi").select(*df.columns)
+    rooted = materialize(rooted.select("root", "_tg_row", order.alias("o")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o._tg_row").alias("_tg_row"))
+    gone = materialize(rooted.select("_tg_row").join(first, "_tg_row", "left_anti"), "gone")
+    return stored.join(_bounded(gone, 2_000_000), "_tg_row", "left_anti").select("_tg_own.*")
 
 
 def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
