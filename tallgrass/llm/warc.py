@@ -18,6 +18,8 @@ from .common import materialize, ready, shared_dir
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _READ = 1 << 16
+_HELD = 1 << 24  # bytes of payloads of one member that are held rather than read again
+_HEADER = 1 << 24  # bytes of a record's header; longer ones count as broken
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -94,10 +96,6 @@ class Broken(Exception):
     """A record that fails a check."""
 
 
-class Partial(Broken):
-    """A member that breaks off after records that were yielded."""
-
-
 def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     """Headers, payload and whole length of the record that ``data`` starts with; raises Broken."""
     end = data.find(b"\r\n\r\n")
@@ -126,7 +124,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 class _File:
-    """Random access to a file by blocks, of which the last ones are kept."""
+    """Random access to a file by blocks, of which the last one is kept."""
 
     def __init__(self, source: object) -> None:
         self.source, self.size, self.block, self.at = source, source.size(), b"", -1
@@ -151,109 +149,192 @@ class _File:
             start += len(block) - longest + 1
         return self.size
 
-    def member(self, start: int) -> tuple[bytes, int, str]:
-        """The gzip member at ``start``, its compressed length and its fault; a broken one gives what came out before."""
-        z, parts, at, step = zlib.decompressobj(31), [], start, _READ
+    def inflate(self, start: int, fault: list[str]) -> Iterator[bytes]:
+        """What the gzip member at ``start`` holds, in parts; its compressed length comes last, as the generator's value.
+
+        A broken member gives all that comes out before its fault, which is put into ``fault``.
+        """
+        z, at, step = zlib.decompressobj(31), start, _READ
         while not z.eof:
             if not (block := self.read(at, step)):
-                return b"".join(parts), at - start, "member is cut off"
-            before = z.copy()
+                fault.append("member is cut off")
+                return at - start
+            before = z.copy() if step > 1 else z
             try:
-                parts.append(z.decompress(block))
+                out = z.decompress(block)
             except zlib.error as e:
                 if step == 1:
-                    return b"".join(parts), at - start, f"member fails: {e}"
+                    fault.append(f"member fails: {e}")
+                    return at - start
                 z, step = before, 1  # byte by byte, all that comes out before the fault
                 continue
             at += len(block)
-        return b"".join(parts), at - len(z.unused_data) - start, ""
+            if out:
+                yield out
+        return at - len(z.unused_data) - start
+
+
+class _Member:
+    """Access to an inflated member from front to back, as to a file; only the part that is asked for is held."""
 
-    def plain(self, start: int) -> tuple[dict[str, str], bytes, int]:
-        """The uncompressed record at ``start``, read as far as its length says; raises Broken."""
-        size = 1 << 14
+    def __init__(self, file: _File, start: int) -> None:
+        self.file, self.start, self.fault = file, start, []
+        self.parts, self.data, self.at, self.size, self.length = file.inflate(start, self.fault), bytearray(), 0, 1 << 62, -1
+
+    def _fill(self, end: int) -> None:
+        while self.length < 0 and self.at + len(self.data) < end:
+            try:
+                self.data += next(self.parts)
+            except StopIteration as e:
+                self.length, self.size = e.value, self.at + len(self.data)
+
+    def read(self, start: int, length: int) -> bytes:
+        if start > self.at:
+            while start > self.at + len(self.data) and self.length < 0:
+                self.at, self.data = self.at + len(self.data), bytearray()
+                self._fill(self.at + 1)
+            del self.data[: start - self.at]
+            self.at = start
+        self._fill(start + length)
+        return bytes(self.data[:length])
+
+    def find(self, what: tuple[bytes, ...], start: int) -> int:
+        longest = max(map(len, what))
         while True:
-            data = self.read(start, size)
-            end = data.find(b"\r\n\r\n")
-            if end >= 0 or start + len(data) >= self.size or not data.startswith(b"WARC/1.") or size > 1 << 22:
-                break
-            size *= 4
-        length = next((v for x in data[: max(end, 0)].split(b"\r\n") if x.lower().startswith(b"content-length:") and (v := x.split(b":", 1)[1].strip()).isdigit()), b"0")
-        return parse(self.read(start, max(end, 0) + 8 + int(length)))
+            block = self.read(start, _READ)
+            if hits := [i for w in what if (i := block.find(w)) >= 0]:
+                return start + min(hits)
+            if len(block) < _READ:
+                return start + len(block)
+            start += len(block) - longest + 1
 
+    def rest(self) -> None:
+        """Go to the member's end."""
+        while self.length < 0:
+            self.at, self.data = self.at + len(self.data), bytearray()
+            self._fill(self.at + 1)
 
-def _records(data: bytes, broken: str) -> tuple[list[tuple[dict[str, str], bytes]], str]:
-    """All records in a member's data that pass their checks, and the first fault, by the bytes of the data.
 
-    After a fault the next version line is tried. In a ``broken`` member the record at the break never
-    counts, and those before it only if they have a digest or the member is just cut off.
+def _record_at(source: _File | _Member, start: int) -> tuple[dict[str, str], bytes, int]:
+    """The record at ``start``, read as far as its header and then its length say; raises Broken."""
+    size = 1 << 12
+    while True:
+        data = source.read(start, size)
+        end = data.find(b"\r\n\r\n")
+        if end >= 0 or len(data) < size or not data.startswith(b"WARC/1."):
+            break
+        if size >= _HEADER:
+            raise Broken(f"no header end within {_HEADER} bytes")
+        size *= 4
+    length = next((v for x in data[: max(end, 0)].split(b"\r\n") if x.lower().startswith(b"content-length:") and (v := x.split(b":", 1)[1].strip()).isdigit()), b"0")
+    whole = max(end, 0) + 8 + int(length)
+    return parse(data[:whole] if whole <= len(data) else source.read(start, whole))
+
+
+def _told(headers: dict[str, str]) -> bool:
+    """Whether a digest vouches for the record that passed its checks."""
+    kinds = ("Block",) if headers["WARC-Type"] == "revisit" else ("Block", "Payload")
+    return any(headers.get(f"WARC-{k}-Digest", "").startswith("sha1:") for k in kinds)
+
+
+def _inside(member: _Member) -> Iterator[tuple[str, dict[str, str], bytes, int]]:
+    """(fault, headers, payload, end) of the records and inner gaps of a member, up to its end or its break.
+
+    After a fault the search goes on for the next version line in the inflated bytes.
     """
-    found, at, fault = [], 0, ""
-    while at < len(data):
+    at = 0
+    while member.read(at, 1):
         try:
-            headers, payload, used = parse(data[at:] if at else data)
+            headers, payload, used = _record_at(member, at)
         except Broken as e:
-            after = data.find(b"WARC/1.", at + 1)
-            after = after if after >= 0 else len(data)
-            fault = fault or f"{e} (bytes {at} to {after} of the member's data)"
+            after = member.find((b"WARC/1.",), at + 1)
+            yield f"{e} (bytes {at} to {after} of the member's data)", {}, b"", after
             at = after
             continue
         at += used
-        told = any(headers.get(f"WARC-{k}-Digest", "").startswith("sha1:") for k in (("Block",) if headers["WARC-Type"] == "revisit" else ("Block", "Payload")))
-        if not broken or (at < len(data) and (told or "cut off" in broken)):
-            found.append((headers, payload))
-    return found, fault
+        yield "", headers, payload, at
 
 
 def salvage(source: object) -> Iterator[tuple[int, int, str, dict[str, str], bytes]]:
     """(offset, length, fault, headers, payload) of every record that passes its checks, and of every gap.
 
     After a failed check the search goes on one byte further, for the next gzip member that opens with a
-    version line or the next version line itself; the bytes up to there are one gap with its fault.
+    version line or the next version line itself; the bytes up to there are one gap with its fault. Inside
+    a member it goes on in the inflated bytes: each inner gap has the member's offset and length, and its
+    own bytes in its fault. A member that breaks off or fails its checksum yields the records before the
+    fault that a digest vouches for (and, if it is just cut off, all but the last), then the search goes
+    on. One record is in memory at a time; records without a digest wait, as numbers of bytes only, for
+    the member's checksum, and are then read again.
     """
     file, at, gap, fault = _File(source), 0, -1, ""
     while at < file.size:
-        found = []
-        try:
-            start = file.read(at, 7)
-            if start[:3] == b"\x1f\x8b\x08":
-                data, length, broken = file.member(at)
-                good, bad = _records(data, broken)
-                found = [(at, length, "", headers, payload) for headers, payload in good]
-                if (broken or bad) and not good:
-                    raise Broken(broken or bad)
-                if broken:
-                    if gap >= 0:
-                        yield gap, at - gap, fault, {}, b""
-                    yield from found
-                    raise Partial(broken)
-                if bad:
-                    found.append((at, length, bad, {}, b""))
-            elif start == b"WARC/1.":
-                headers, payload, length = file.plain(at)
-                found.append((at, length, "", headers, payload))
-            else:
-                raise Broken("neither a member nor a version line")
-        except Broken as e:
-            if gap < 0 or isinstance(e, Partial):
-                gap, fault = at, str(e)
-            at = file.find((b"\x1f\x8b\x08", b"WARC/1."), at + 1)
-            continue
-        if gap >= 0:
+        found: Iterator[tuple[int, int, str, dict[str, str], bytes]] | list = []
+        start, bad, length = file.read(at, 7), "", 0
+        if start[:3] == b"\x1f\x8b\x08":
+            good, length, bad, held = _survey(file, at)
+            if good or not bad:
+                found = _of_member(file, at, length, bad) if held is None else [(at, length, *x) for x in held]
+        elif start == b"WARC/1.":
+            try:
+                headers, payload, length = _record_at(file, at)
+                found = [(at, length, "", headers, payload)]
+            except Broken as e:
+                bad = str(e)
+        else:
+            bad = "neither a member nor a version line"
+        if gap >= 0 and (found or not bad):
             yield gap, at - gap, fault, {}, b""
             gap = -1
         yield from found
-        at += length
+        if bad:
+            if gap < 0:
+                gap, fault = at, bad
+            at = file.find((b"\x1f\x8b\x08", b"WARC/1."), at + 1)
+        else:
+            at += length
     if gap >= 0:
         yield gap, file.size - gap, fault, {}, b""
 
 
+def _survey(file: _File, start: int) -> tuple[bool, int, str, list | None]:
+    """Whether the member at ``start`` holds a record that counts, its compressed length, its fault as a whole, and
+    what it yields if that is whole and little enough to be held."""
+    member, held, size, good, first = _Member(file, start), [], 0, False, ""
+    for fault, headers, payload, _ in _inside(member):
+        good, first = good or not fault, first or fault
+        size += len(payload)
+        if held is not None:
+            held.append((fault, headers, payload))
+            held = held if size <= _HELD else None
+    member.rest()
+    if member.fault:
+        return any(not x[2] for x in _of_member(file, start, member.length, member.fault[0])), member.length, member.fault[0], None
+    return good, member.length, "" if good else first, held
+
+
+def _of_member(file: _File, start: int, length: int, broken: str) -> Iterator[tuple[int, int, str, dict[str, str], bytes]]:
+    """The records of a member that count, and its inner gaps if it isn't ``broken`` as a whole.
+
+    In a broken member the record at the break never counts, and those before it only if they have a
+    digest or the member is just cut off.
+    """
+    member = _Member(file, start)
+    for fault, headers, payload, end in _inside(member):
+        if fault:
+            if not broken:
+                yield start, length, fault, {}, b""
+        elif not broken or (member.read(end, 1) and (_told(headers) or "cut off" in broken)):
+            yield start, length, "", headers, payload
+
+
 def read_archives(files: DataFrame, path: str = "path", payloads: bool = True) -> DataFrame:
-    """Records and gaps of the archives in ``files``, one task a file and one record in memory at a time.
+    """Records and gaps of the archives in ``files``, a task for each file and one record in memory at a time.
 
     Columns: path, offset, length (bytes in the file), fault (null for a record; else why the bytes of
     this gap are quarantined), headers (map), payload (binary, null on demand), payload_bytes and
     payload_digest (of the payload as read; null for gaps). A file with nothing valid is one gap; an
-    empty file gives no rows; null paths are left out.
+    empty file gives no rows; null paths are left out; a path that is listed twice is read twice. The
+    files are dealt over as many tasks as there are files, a number that adaptive execution leaves alone.
     """
     ready(files.sparkSession)
 
@@ -275,7 +356,7 @@ def read_archives(files: DataFrame, path: str = "path", payloads: bool = True) -
 
     names = files.select(F.col(path).alias("path")).where("path is not null")
     kind = "path string, offset long, length long, fault string, headers map<string,string>, payload binary, payload_bytes long, payload_digest string"
-    return names.repartition(F.col("path")).mapInPandas(read, kind)
+    return names.repartition(max(1, min(names.count(), 100_000))).mapInPandas(read, kind)
 
 
 def op3_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
