@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import new_path
 from .common import materialize, ready
 
 #: No word holds white space, so this can't be one.
@@ -18,16 +20,17 @@ END = " "
 _CHUNK = 2_000_000  # tokens that share a local vocabulary
 _WAVE = 4_000_000  # tokens that are held to be sorted by length
 _STEP = 500_000  # tokens of one padded batch
+_BLOCK = 2_048  # steps whose forward vectors are held at once
 
 
 @dataclass(frozen=True)
 class Settings:
-    """states: latent states. frequent: words with at least 1/frequent of all training tokens are symbols
-    of their own, so there are at most that many. classes: symbols that the other words share.
+    """states: latent states. least: words that occur as often in the training documents are symbols of
+    their own, so their number grows with the corpus. classes: symbols that the rarer words share.
     rounds: passes of Baum-Welch. folds, held: a document is held out if crc32(key as text) mod folds is held."""
 
     states: int = 6
-    frequent: int = 4096
+    least: int = 64
     classes: int = 256
     rounds: int = 4
     folds: int = 5
@@ -99,77 +102,125 @@ def ending_class(classes: int) -> F.Column:
 
 @dataclass(frozen=True)
 class Corpus:
-    """docs: row, key, held_out, n_tokens, n_known, base_score, tail, seq (symbols, 16 bit). The rest are counts over the training documents."""
+    """docs: row, key, held_out, n_tokens, n_known, base_score, tail, chunk, seq (symbols of the chunk), bucketed by
+    chunk. own: chunk, sym, word, c of the words that are symbols of their own, numbered in each chunk behind the
+    classes. words: word and c of all of those. The rest are counts over the training documents."""
 
     docs: DataFrame
+    own: DataFrame
+    words: DataFrame
     tokens: int
     distinct: int
-    symbols: int
     weights: np.ndarray
 
 
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` stored in the shared folder, dealt by ``key``: what later meets it by that key comes to it, it isn't shuffled again."""
+    spark, name = df.sparkSession, f"tg_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", new_path(spark, "bucketed")).saveAsTable(name)
+    return spark.table(name)
+
+
 def prepare(df: DataFrame, key: str, text: str, s: Settings) -> Corpus:
     """Count words over all training documents, and turn each document into symbols and its unigram score.
 
     Counts are summed per chunk, then shuffled by word; they come back joined to the chunks'
-    vocabularies, not to each token. Only words with 1/frequent of the tokens reach the driver.
+    vocabularies, not to each token. Only sums over classes reach the driver.
     """
     local = localise(df, key, text, s)
     vocab = local.where("kind = 'v'").select("chunk", "local", "word", "count")
     counts = materialize(vocab.groupBy("word").agg(F.sum("count").alias("c")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n, v = int(total["n"]), int(total["v"] or 0)
-    top = [(r["word"], int(r["c"])) for r in counts.where(F.col("c") * s.frequent >= max(n, 1)).orderBy(F.desc("c"), "word").collect()]
-    own = {w: i for i, (w, _) in enumerate(top)}
-    names = df.sparkSession.createDataFrame([(w, i) for w, i in own.items()], "word string, symbol int")
-    tagged = counts.join(F.broadcast(names), "word", "left").withColumn("class", F.when(F.col("symbol").isNull(), ending_class(s.classes)))
+    rare = F.col("c") < s.least
     mass, kinds = np.zeros(s.classes), np.zeros(s.classes)
-    for r in tagged.where("class is not null").groupBy("class").agg(F.sum("c").alias("m"), F.sum((F.col("c") > 0).cast("long")).alias("k")).collect():
+    for r in counts.where(rare).groupBy(ending_class(s.classes).alias("class")).agg(F.sum("c").alias("m"), F.sum((F.col("c") > 0).cast("long")).alias("k")).collect():
         mass[r["class"]], kinds[r["class"]] = r["m"], r["k"]
-    symbols = len(top) + s.classes
-    weights = np.concatenate([np.array([c for _, c in top], dtype=float), mass + 0.5])
-    base_of, class_of = n + 0.5 * (v + 1), mass + 0.5 * (kinds + 1)
-    first, classes = len(top), s.classes
+    base_of, class_of, classes = n + 0.5 * (v + 1), mass + 0.5 * (kinds + 1), s.classes
 
-    known = tagged.select("word", "c", F.coalesce("symbol", F.col("class") + first).alias("symbol"))
-    table = vocab.join(known, "word").select(F.col("chunk").alias("of"), "local", "c", "symbol")
+    known = materialize(vocab.join(counts, "word").select("chunk", "local", "c", F.when(rare, ending_class(classes)).alias("class"), F.when(~rare, F.col("word")).alias("word")), "known")
+    place = F.row_number().over(Window.partitionBy("chunk").orderBy("local"))
+    own = materialize(known.where("word is not null").select("chunk", "local", (place + (classes - 1)).alias("sym"), "word", "c"), "own")
+    table = known.where("word is null").select(F.col("chunk").alias("of"), "local", "c", F.col("class").alias("sym")).unionByName(own.select(F.col("chunk").alias("of"), "local", "c", "sym"))
     docs = local.where("kind = 'd'").select("row", "key", "held_out", "n_tokens", "ids", "chunk")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         at = right["local"].to_numpy()
         c, sym = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-        c[at], sym[at] = right["c"].to_numpy(), right["symbol"].to_numpy()
+        c[at], sym[at] = right["c"].to_numpy(), right["sym"].to_numpy()
         log = np.log10(c + 0.5)
-        base, of_class = log - np.log10(base_of), np.append(np.zeros(first), np.log10(class_of))[sym]
-        tail, seen = np.where(sym >= first, log - of_class, 0.0), c > 0
+        shared = sym < classes
+        base, tail = log - np.log10(base_of), np.where(shared, log - np.log10(class_of)[np.where(shared, sym, 0)], 0.0)
+        seen, sym = c > 0, sym.astype("<i4")
         out = []
         for raw in left["ids"]:
             ids = _whole(raw)
-            out.append((int(seen[ids].sum()), float(base[ids].sum()), float(tail[ids].sum()), sym[ids].astype("<u2").tobytes()))
+            out.append((int(seen[ids].sum()), float(base[ids].sum()), float(tail[ids].sum()), _planes(sym[ids])))
         got = pd.DataFrame(out, columns=["n_known", "base_score", "tail", "seq"])
-        return pd.concat([left[["row", "key", "held_out", "n_tokens"]].reset_index(drop=True), got], axis=1)
+        return pd.concat([left[["row", "key", "held_out", "n_tokens", "chunk"]].reset_index(drop=True), got], axis=1)
 
     kind = dict(df.dtypes)[key]
-    schema = f"row long, key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, tail double, seq binary"
+    schema = f"row long, key {kind}, held_out boolean, n_tokens long, chunk long, n_known long, base_score double, tail double, seq binary"
+    chunks = max(1, docs.select("chunk").distinct().count())
     scored = docs.groupBy("chunk").cogroup(table.groupBy("of")).applyInPandas(score, schema)
-    return Corpus(materialize(scored, "symbols"), n, v, symbols, weights)
+    stored = _bucketed(scored, "chunk", min(chunks, 20_000))
+    return Corpus(stored, own.select("chunk", "sym", "word"), counts.where(~rare).select("word", "c"), n, v, mass + 0.5)
 
 
 @dataclass(frozen=True)
 class Model:
+    """start, move, and what each state emits: the symbols that are numbered here."""
+
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
 
 
-def initial(corpus: Corpus, s: Settings) -> Model:
-    """The symbols' overall shares, tilted at random for each state, and states that tend to last: texts keep
-    to a language or manner, and from there a few rounds part the states."""
+@dataclass(frozen=True)
+class Trained:
+    """core: the model with the classes' emissions alone, which is bounded. words: word and its probability in each
+    state, a stored table that grows with the corpus and never reaches the driver."""
+
+    core: Model
+    words: DataFrame
+
+    def on(self, own: DataFrame) -> DataFrame:
+        """The rows (of, sym, word, e) of each chunk's own words."""
+        return own.join(self.words, "word").select(F.col("chunk").alias("of"), "sym", "word", "e")
+
+
+def _on_chunk(core: Model, right: pd.DataFrame) -> Model:
+    """The model over a chunk's symbols: the classes, then its own words."""
+    emit = np.zeros((len(core.start), core.emit.shape[1] + len(right)))
+    emit[:, : core.emit.shape[1]] = core.emit
+    if len(right):
+        emit[:, right["sym"].to_numpy()] = np.stack(right["e"].to_numpy()).T
+    return Model(core.start, core.move, emit)
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def _emissions(weights: DataFrame, classes: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """Probabilities from weights: of words (word, w array) in a table, of classes on the driver; each state's sum to one."""
+    k = len(classes)
+    sums = weights.agg(*[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).first()
+    whole = np.array(list(sums)) + classes.sum(axis=1)
+    return materialize(weights.select("word", F.array(*[F.col("w")[i] / float(whole[i]) for i in range(k)]).alias("e")), "emissions"), classes / whole[:, None]
+
+
+def initial(corpus: Corpus, s: Settings) -> Trained:
+    """The symbols' overall shares, tilted at random for each state (words by their hash, so that no partitioning
+    matters), and states that tend to last: texts keep to a language or manner, and from there a few rounds part the states."""
     rng = np.random.default_rng(s.seed)
-    share = np.maximum(corpus.weights, 1e-3) * (rng.gamma(0.5, 1.0, (s.states, corpus.symbols)) + 0.02)
+    uniform = lambda k, j: (F.shiftrightunsigned(F.xxhash64("word", F.lit(s.seed), F.lit(k), F.lit(j)), 11) + F.lit(1)) / F.lit(float((1 << 53) + 1))
+    tilt = lambda k: -F.log(uniform(k, 0)) * F.pow(F.cos(2 * np.pi * uniform(k, 1)), 2) + 0.02  # noqa: E731  half the square of a normal number
+    weights = materialize(corpus.words.select("word", F.array(*[F.col("c") * tilt(k) for k in range(s.states)]).alias("w")), "weights")
+    classes = np.maximum(corpus.weights, 1e-3) * (rng.gamma(0.5, 1.0, (s.states, len(corpus.weights))) + 0.02)
+    words, emit = _emissions(weights, classes)
     move = rng.uniform(0.5, 1.5, (s.states, s.states)) + 100 * np.eye(s.states)
-    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
-    return Model(np.full(s.states, 1 / s.states), norm(move), norm(share))
+    return Trained(Model(np.full(s.states, 1 / s.states), _normal(move), emit), words)
 
 
 def _batches(sequences: Iterator[tuple[object, bytes]]) -> Iterator[list[tuple[object, np.ndarray]]]:
@@ -187,7 +238,7 @@ def _batches(sequences: Iterator[tuple[object, bytes]]) -> Iterator[list[tuple[o
 
     held, size = [], 0
     for tag, raw in sequences:
-        seq = np.frombuffer(raw, dtype="<u2")
+        seq = _whole(raw)
         held.append((tag, seq))
         size += len(seq)
         if size >= _WAVE:
@@ -196,84 +247,119 @@ def _batches(sequences: Iterator[tuple[object, bytes]]) -> Iterator[list[tuple[o
     yield from sorted_out(held)
 
 
-def _by_time(seqs: list[np.ndarray]) -> list[np.ndarray]:
+class _Steps:
     """The symbols at each step, of the sequences (longest first) that reach it."""
-    lengths = np.array([len(x) for x in seqs])
-    padded = np.zeros((len(seqs), int(lengths[0])), dtype=np.int32)
-    for row, seq in zip(padded, seqs, strict=True):
-        row[: len(seq)] = seq
-    alive = len(seqs) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), side="right")
-    return [x[:n] for x, n in zip(np.ascontiguousarray(padded.T), alive.tolist(), strict=True)]
 
+    def __init__(self, seqs: list[np.ndarray]) -> None:
+        lengths = np.array([len(x) for x in seqs])
+        padded = np.zeros((int(lengths[0]), len(seqs)), dtype=np.int32)
+        for i, seq in enumerate(seqs):
+            padded[: len(seq), i] = seq
+        self.padded, self.lengths = padded, lengths[::-1]
 
-def forward(m: Model, seqs: list[np.ndarray], keep: bool = False) -> tuple[np.ndarray, list, list, list]:
-    """log10 likelihood of each sequence (longest first), by scaled forward recursion over all at once.
+    def __len__(self) -> int:
+        return len(self.padded)
 
-    To ``keep`` gives the symbols, scaled forward vectors and scales of each step besides.
-    """
-    by_time, logs, alphas, scales = _by_time(seqs), np.zeros(len(seqs)), [], []
-    emit, ones = np.ascontiguousarray(m.emit.T), np.ones(len(m.start))
-    alpha = None
-    for syms in by_time:
+    def block(self, first: int) -> list[np.ndarray]:
+        """The steps from ``first`` on, up to _BLOCK of them."""
+        rows = self.padded[first : first + _BLOCK]
+        alive = self.padded.shape[1] - np.searchsorted(self.lengths, np.arange(first, first + len(rows)), side="right")
+        return [x[:n] for x, n in zip(rows, alive.tolist(), strict=True)]
+
+
+def _advance(m: Model, emit: np.ndarray, alpha: np.ndarray | None, block: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Scaled forward vectors and scales of a block's steps; ``alpha``: that of the step before."""
+    ones = np.ones(len(m.start))
+    for syms in block:
         alpha = emit[syms] * (m.start if alpha is None else alpha[: len(syms)] @ m.move)
         scale = alpha @ ones
         alpha /= scale[:, None]
-        logs[: len(syms)] += np.log10(scale)
-        if keep:
-            alphas.append(alpha)
-            scales.append(scale)
-    return logs, by_time, alphas, scales
+        yield alpha, scale
+
+
+def forward(m: Model, seqs: list[np.ndarray]) -> np.ndarray:
+    """log10 likelihood of each sequence (longest first), by scaled forward recursion over all at once."""
+    steps, logs, alpha = _Steps(seqs), np.zeros(len(seqs)), None
+    emit = np.ascontiguousarray(m.emit.T)
+    for first in range(0, len(steps), _BLOCK):
+        for alpha, scale in _advance(m, emit, alpha, steps.block(first)):
+            logs[: len(scale)] += np.log10(scale)
+    return logs
 
 
 def expectations(m: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of the sequences, and their log10 likelihood."""
-    logs, by_time, alphas, scales = forward(m, seqs, keep=True)
+    """Expected starts, moves and emissions of the sequences, and their log10 likelihood.
+
+    The forward vectors of one block of steps are held at a time, and one vector before each block, from
+    which the others' are computed again on the way back: memory is that of a block at any length.
+    """
     emit, back = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
+    steps, log, alpha, marks, held = _Steps(seqs), 0.0, None, [], []
+    for first in range(0, len(steps), _BLOCK):
+        marks.append(alpha)
+        held = list(_advance(m, emit, alpha, steps.block(first)))
+        alpha = held[-1][0]
+        log += float(sum(np.log10(scale).sum() for _, scale in held))
     moves, emits = np.zeros_like(m.move), np.zeros_like(m.emit)
-    beta = np.ones_like(alphas[-1])
-    for t in range(len(by_time) - 1, -1, -1):
-        if t:
-            ahead = emit[by_time[t]]
-            ahead *= beta
-            ahead /= scales[t][:, None]
-            before = alphas[t - 1]
-            moves += before[: len(ahead)].T @ ahead
-        alphas[t] *= beta  # from here on the state's posterior
-        if t:
-            beta = np.ones_like(before)
-            np.matmul(ahead, back, out=beta[: len(ahead)])
-    flat, gammas = np.concatenate(by_time), np.concatenate(alphas)
-    for k in range(len(m.start)):
-        emits[k] = np.bincount(flat, weights=gammas[:, k], minlength=emits.shape[1])
-    return alphas[0].sum(axis=0), moves * m.move, emits, float(logs.sum())
-
-
-def baum_welch(corpus: Corpus, m: Model, floor: float = 1e-2) -> tuple[Model, float]:
+    beta = np.ones_like(alpha)
+    for b in range(len(marks) - 1, -1, -1):
+        block = steps.block(b * _BLOCK)
+        held = held or list(_advance(m, emit, marks[b], block))
+        for t in range(len(block) - 1, -1, -1):
+            alpha, scale = held[t]
+            before = held[t - 1][0] if t else marks[b]
+            if before is not None:
+                ahead = emit[block[t]]
+                ahead *= beta
+                ahead /= scale[:, None]
+                moves += before[: len(ahead)].T @ ahead
+            alpha *= beta  # from here on the state's posterior
+            if before is not None:
+                beta = np.ones_like(before)
+                np.matmul(ahead, back, out=beta[: len(ahead)])
+        flat, gammas = np.concatenate(block), np.concatenate([x for x, _ in held])
+        for k in range(len(m.start)):
+            emits[k] += np.bincount(flat, weights=gammas[:, k], minlength=emits.shape[1])
+        starts, held = held[0][0].sum(axis=0), []
+    return starts, moves * m.move, emits, log
+
+
+def baum_welch(corpus: Corpus, t: Trained, floor: float = 1e-2) -> tuple[Trained, float]:
     """One round over all training documents; returns the new model and the old one's log10 likelihood.
 
-    Partitions send their expected counts as (state, cell, value) rows that Spark sums; the driver gets
-    states * (1 + states + symbols) sums at any input size.
+    Each chunk meets the emissions of its own words, and sends back expected counts: of words as
+    (word, one count a state), which Spark sums by word into the next table of emissions; of starts,
+    moves and classes as (state, cell, value), of which the driver gets states * (1 + states + classes)
+    sums at any input size.
     """
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = len(m.start)
+    core, k, classes = t.core, len(t.core.start), t.core.emit.shape[1]
+    schema = "state int, cell int, value double, word string, w array<double>"
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"state": [], "cell": [], "value": [], "word": [], "w": []})
+        m = _on_chunk(core, right)
         starts, moves, emits, log = np.zeros(k), np.zeros_like(m.move), np.zeros_like(m.emit), 0.0
-        for batch in _batches((None, raw) for pdf in batches for raw in pdf["seq"]):
+        for batch in _batches((None, raw) for raw in left["seq"]):
             a, b, c, d = expectations(m, [x for _, x in batch])
             starts, moves, emits, log = starts + a, moves + b, emits + c, log + d
-        cells = np.concatenate([starts[:, None], moves, emits], axis=1)
+        cells = np.concatenate([starts[:, None], moves, emits[:, :classes]], axis=1)
         state, cell = np.nonzero(cells)
-        yield pd.DataFrame({"state": np.append(state, -1), "cell": np.append(cell, 0), "value": np.append(cells[state, cell], log)})
-
-    seqs = corpus.docs.where("not held_out").select("seq")
-    sums = seqs.mapInPandas(count, "state int, cell int, value double").groupBy("state", "cell").agg(F.sum("value").alias("value"))
-    k, cells, log = len(m.start), np.zeros((len(m.start), 1 + len(m.start) + m.emit.shape[1])), 0.0
-    for r in sums.collect():
+        sums = pd.DataFrame({"state": np.append(state, -1), "cell": np.append(cell, 0), "value": np.append(cells[state, cell], log), "word": None, "w": None})
+        words = pd.DataFrame({"state": -2, "cell": 0, "value": 0.0, "word": right["word"], "w": list(emits[:, right["sym"].to_numpy()].T) if len(right) else []})
+        return pd.concat([sums, words], ignore_index=True) if len(words) else sums
+
+    left, right = corpus.docs.where("not held_out").select("chunk", "seq"), t.on(corpus.own)
+    counted = materialize(left.groupBy("chunk").cogroup(right.groupBy("of")).applyInPandas(count, schema), "expected")
+    cells, log = np.zeros((k, 1 + k + classes)), 0.0
+    for r in counted.where("state >= -1").groupBy("state", "cell").agg(F.sum("value").alias("value")).collect():
         if r["state"] < 0:
             log = r["value"]
         else:
             cells[r["state"], r["cell"]] = r["value"]
-    norm = lambda x: (x + floor) / (x + floor).sum(axis=-1, keepdims=True)
-    return Model(norm(cells[:, 0]), norm(cells[:, 1 : 1 + k]), norm(cells[:, 1 + k :])), log
+    by_word = counted.where("state = -2").groupBy("word").agg(F.array(*[F.sum(F.col("w")[i]) + floor for i in range(k)]).alias("w"))
+    words, emit = _emissions(materialize(by_word, "weights"), cells[:, 1 + k :] + floor)
+    return Trained(Model(_normal(cells[:, 0] + floor), _normal(cells[:, 1 : 1 + k] + floor), emit), words), log
 
 
 def score_hmm(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -292,16 +378,17 @@ def score_hmm(df: DataFrame, key: str = "doc_id", text: str = "text", settings:
     return _scores(corpus, model, key)
 
 
-def _scores(corpus: Corpus, m: Model, key: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _batches((tuple(r[:-1]), r[-1]) for pdf in batches for r in pdf.itertuples(index=False, name=None)):
-            logs, *_ = forward(m, [x for _, x in batch])
-            yield pd.DataFrame([tag for tag, _ in batch], columns=names).assign(hmm=logs)
+def _scores(corpus: Corpus, t: Trained, key: str) -> DataFrame:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        m, log = _on_chunk(core, right), np.zeros(len(left))
+        for batch in _batches(zip(range(len(left)), left["seq"], strict=True)):
+            log[[i for i, _ in batch]] = forward(m, [x for _, x in batch])
+        return left[names].assign(hmm=log)
 
-    names = ["key", "held_out", "n_tokens", "n_known", "base_score", "tail"]
+    core, names = t.core, ["key", "held_out", "n_tokens", "n_known", "base_score", "tail"]
     kind = dict(corpus.docs.dtypes)["key"]
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, tail double, hmm double"
-    scored = corpus.docs.select(*names, "seq").mapInPandas(run, schema)
+    scored = corpus.docs.select(*names, "chunk", "seq").groupBy("chunk").cogroup(t.on(corpus.own).groupBy("of")).applyInPandas(run, schema)
     return scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("hmm") + F.col("tail")).alias("score"))
 
 

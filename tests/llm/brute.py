@@ -97,11 +97,17 @@ def failures(m: dict) -> dict:
     return {"short": w < 50, "repetitive": 100 * m["n_repeat_words"] > 50 * w, "symbols": 10 * m["n_symbols"] > 3 * w, "lines": 10 * m["n_dup_lines"] > w, "lengths": m["word_chars"] < 2 * w or m["word_chars"] > 15 * w}
 
 
-def kept(rows: list[tuple[str | None, str | None]], worst: float = 0.3) -> list[bool]:
+def clear(m: dict) -> dict:
+    w = m["n_words"]
+    return {"symbols": 20 * m["n_symbols"] > 9 * w, "lines": 20 * m["n_dup_lines"] > 3 * w, "lengths": 3 * m["word_chars"] < 4 * w or 2 * m["word_chars"] > 45 * w}
+
+
+def kept(rows: list[tuple[str | None, str | None]], worst: float = 0.3, low: float = 0.02) -> list[bool]:
     """rows: (text, host)."""
-    f = [failures(measures(t)) for t, _ in rows]
+    m = [measures(t) for t, _ in rows]
+    f = [failures(x) for x in m]
     hosts = {h: [x for x, (_, g) in zip(f, rows) if g == h] for _, h in rows}
-    failed = dict.fromkeys(hosts, False)
+    rate: dict = {}
     for rule in f[0] if f else ():
         rates = {h: sum(x[rule] for x in xs) / len(xs) for h, xs in hosts.items()}
         mean = sum(x[rule] for x in f) / len(f)
@@ -109,11 +115,28 @@ def kept(rows: list[tuple[str | None, str | None]], worst: float = 0.3) -> list[
         spread = sum((r - centre) ** 2 for r in rates.values()) / len(rates)
         strength = max(2.0, min(10_000.0, mean * (1 - mean) / spread - 1 if spread > 0 else 10_000.0))
         for h, xs in hosts.items():
-            failed[h] |= (sum(x[rule] for x in xs) + mean * strength) / (len(xs) + strength) > worst
-    return [not (x["short"] or x["repetitive"]) and not (failed[h] and (x["symbols"] or x["lines"] or x["lengths"])) for x, (_, h) in zip(f, rows)]
+            rate[h, rule] = (sum(x[rule] for x in xs) + mean * strength) / (len(xs) + strength)
+    failed = {h: any(rate[h, r] > worst for r in f[0]) for h in hosts}
+    bad = lambda x, y, h: any(x[r] and (c or failed[h] or rate[h, r] > low) for r, c in clear(y).items())
+    return [not (x["short"] or x["repetitive"]) and not bad(x, y, h) for x, y, (_, h) in zip(f, m, rows)]
+
+
+def runs(text: str | None, width: int = 5) -> frozenset:
+    w = WORD.findall(lower(text or ""))
+    return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
+
+
+def without_similar(rows: list[tuple[int, str | None]], percent: int = 80) -> list[int]:
+    """rows: (key, text); the smallest keys of the groups that pairs at a Jaccard similarity of ``percent`` or more connect."""
+    sets, root = [runs(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and root[a] != root[b]:
+                root = [root[b] if r == root[a] else r for r in root]
+    return sorted(min(rows[i][0] for i, r in enumerate(root) if r == g) for g in set(root))
 
 
-def deduped_lines(rows: list[tuple[int | None, str | None, str | None]], min_sites: int = 10) -> list[tuple[str | None, int, int]]:
+def deduped_lines(rows: list[tuple[int | None, str | None, str | None]], min_sites: int = 3, short_sites: int = 10) -> list[tuple[str | None, int, int]]:
     """rows: (key, text, site); gives (text, lines, removed)."""
     cut = lambda x: x.strip(" \t\n\r\x0b\x0c")
     sites: dict[str, set] = {}
@@ -124,7 +147,7 @@ def deduped_lines(rows: list[tuple[int | None, str | None, str | None]], min_sit
                 sites.setdefault(c, set()).add(s)
                 if k is not None:
                     keeper[c] = min(keeper.get(c, k), k)
-    gone = {c for c, s in sites.items() if len(s) >= min_sites}
+    gone = {c for c, s in sites.items() if len(s) >= (short_sites if len(WORD.findall(c)) < 5 else min_sites)}
     out = []
     for k, t, _ in rows:
         if t is None:

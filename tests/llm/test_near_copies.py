@@ -5,24 +5,10 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
 
 import corpus_pipeline
-from tallgrass.llm import jaccard
-
-
-def runs(text):
-    w = brute.WORD.findall(brute.lower(text or ""))
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-
-def kept(rows):
-    """Smallest keys of the groups that pairs at 0.8 or more connect."""
-    sets, root = [runs(t) for _, t in rows], list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
-                root = [root[b] if r == root[a] else r for r in root]
-    return sorted(min(rows[i][0] for i, r in enumerate(root) if r == g) for g in set(root))
+from tallgrass.llm import simhash
 
 
 def make_texts(n=220, seed=5):
@@ -41,16 +27,55 @@ def make_texts(n=220, seed=5):
 
 def test_stage_equals_brute_force(spark):
     rows = make_texts()
-    sets = [runs(t) for _, t in rows]
+    sets = [brute.runs(t) for _, t in rows]
     near = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a != b]
     assert sum(0.8 <= x < 0.9 for x in near) > 20 and sum(0.7 <= x < 0.8 for x in near) > 20
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert sorted(r[0] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == kept(rows)
+    assert sorted(r[0] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == brute.without_similar(rows)
+
+
+def test_recall_of_lone_pairs(spark):
+    """Pairs right above the bound, with no group to help: nearly all are found, and nothing else goes."""
+    rng = random.Random(9)
+    rows, near = [], 0
+    for i in range(150):
+        w = [f"v{rng.randrange(3000)}" for _ in range(rng.randint(80, 200))]
+        other = list(w)
+        for j in rng.sample(range(len(w)), max(1, len(w) // 50)):
+            other[j] = "changed"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+        near += len(brute.runs(rows[-1][1]) & brute.runs(rows[-2][1])) >= 0.8 * len(brute.runs(rows[-1][1]) | brute.runs(rows[-2][1]))
+    left = {r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = set(brute.without_similar(rows))
+    assert near > 100 and want <= left and len(left - want) <= 0.05 * near
+
+
+def test_rows_without_a_key_are_told_apart(spark):
+    texts = [" ".join(f"t{i}w{j}" for j in range(30)) for i in range(5)]
+    rows = [(None, t, "a") for t in texts] + [(None, texts[0], "b"), (4, texts[1], "c"), (None, None, "d"), (None, " ", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _c string").coalesce(1)
+    left = sorted((r["doc_id"] is None, r["text"] or "", r["_c"]) for r in simhash.drop_near_duplicates(df).collect())
+    assert left == sorted([(True, texts[0], "a"), (False, texts[1], "c"), (True, texts[2], "a"), (True, texts[3], "a"), (True, texts[4], "a"), (True, "", "d")])
+
+
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for j in rng.sample(range(len(w)), 1):
+            w[j] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    assert [r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == brute.without_similar(rows[:60])
 
 
-def test_common_runs_change_no_result(spark):
-    rows = make_texts(90, 6)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for width, percent in ((5, 80), (5, 95)):
-        found = sorted(r[0] for r in jaccard.drop_similar(df, width=width, percent=percent).collect())
-        assert len(found) >= len(kept(rows)) and (percent != 80 or found == kept(rows))
+def test_codes(spark):
+    c = simhash.Codes.of(10_000)
+    assert c.bits == 28 and simhash.Codes.of(10**9).bits == 40 and simhash.Codes.of(10**9).tables > c.tables
+    rng = np.random.default_rng(1)
+    x = np.unique(rng.integers(-(1 << 62), 1 << 62, 40_000))
+    bits = np.concatenate([np.unpackbits(simhash._mixed(x.view(np.uint64), w).reshape(-1, 1).view(np.uint8), axis=1) for w in range(-(-c.bits * c.tables // 64))], axis=1)
+    ones = 2 * bits.sum(axis=0) > len(x)
+    want = [(t << c.bits) | sum(int(ones[t * c.bits + i]) << i for i in range(c.bits)) for t in range(c.tables)]
+    assert simhash.simhash_codes(x, c) == want

@@ -14,7 +14,7 @@ from tallgrass.llm import common, linededup, pii, quality, simhash
 
 
 def test_line_dedup(documents, document_rows, spark):
-    for sites in (3, 10):
+    for sites in (3, 8):
         want = sorted((repr(k), *r[:1], r[1], r[2]) for (k, *_), r in zip(document_rows, brute.deduped_lines([(k, t, s) for k, t, _, s, _ in document_rows], sites)) if r[0] is not None)
         got = linededup.dedup_lines(documents.withColumn("pos", F.lit(1)).withColumn("key", F.lit("k")), min_sites=sites)
         assert sorted((repr(r["doc_id"]), r["text"], r["n_lines"], r["n_removed"]) for r in got.collect() if r["text"] is not None) == want
@@ -27,9 +27,9 @@ def test_line_dedup_edges(spark, no_documents):
     df = spark.createDataFrame(rows, no_documents.schema)
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
     assert got[0] == "same line\nown 0" and got[1] == "own 1" and got[None] == ""
-    near = linededup.boilerplate(df, min_sites=13)
+    near = linededup.boilerplate(df, short_sites=13)
     assert near.count() == 1  # twelve sources and null
-    assert linededup.boilerplate(df, min_sites=14).count() == 0
+    assert linededup.boilerplate(df, short_sites=14).count() == 0
 
 
 def test_line_dedup_many_lines(spark, no_documents):
@@ -67,12 +67,9 @@ def test_simhash_of_documents(documents, document_rows):
 
 
 def test_near_duplicates_keep_one(documents, document_rows, no_documents):
-    fps = [brute.fingerprint(r[1]) for r in document_rows]
-    parts = brute.components(fps)
     left = simhash.drop_near_duplicates(documents)
-    assert left.count() == len(set(parts)) and left.columns == documents.columns
-    best = {min((r[0] for r, p in zip(document_rows, parts) if p == q and r[0] is not None), default=None) for q in set(parts)}
-    assert {r["doc_id"] for r in left.collect()} == best
+    keyed = [(r[0], r[1]) for r in document_rows if r[0] is not None]
+    assert left.columns == documents.columns and sorted(r["doc_id"] for r in left.collect()) == brute.without_similar(keyed)
     assert simhash.drop_near_duplicates(no_documents).count() == 0
     assert simhash.simhash_components(no_documents).count() == 0
 
@@ -103,7 +100,7 @@ def test_failed_host_loses_only_its_faulty(spark, no_documents):
     good, bad = " ".join(f"word{i}" for i in range(80)), " ".join(f"w{i} ##" for i in range(80))
     rows = [(i, bad, "x", "dirty", 0) for i in range(30)] + [(100, good, "x", "dirty", 0)] + [(200 + i, good + f" {i}", "x", f"h{i % 5}", 0) for i in range(60)] + [(300, bad, "x", "h1", 0)]
     got = {r["doc_id"]: r["kept"] for r in quality.with_verdicts(spark.createDataFrame(rows, no_documents.schema)).collect()}
-    assert not got[0] and got[100] and got[200] and got[300]  # h1's one failure is no reason
+    assert not got[0] and got[100] and got[200] and not got[300]  # a clear failure goes on any host
     assert [got[r[0]] for r in rows] == brute.kept([(r[1], r[3]) for r in rows])
     assert quality.with_verdicts(no_documents).count() == 0
 
@@ -123,7 +120,7 @@ TRICKY = [
 
 
 def as_joined(spans):
-    return brute.joined([(s["start"], s["end"], pii.KINDS[s["kind"]]) for s in spans])
+    return brute.joined([(s["start"], s["end"], pii.ALL_KINDS[s["kind"]]) for s in spans])
 
 
 def test_base_spans(spark):
@@ -138,7 +135,7 @@ def test_boosted_candidates(spark):
     model = pii.fit(spark)
     texts = ["please call (212) 555-0182 today", "tel: 0301234567 abends", "bob [at] mail [dot] org ok", "version 12.345.6789 is out", "order 123456789012 shipped", "plain words at home. nothing", "fe80:0:0:0:202:b3ff:fe1e:8329 is up", "call +1 (403) 555-9312 now"]
     got = [r["spans"] for r in pii.with_spans(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), model=model).collect()]
-    found = [[(pii.KINDS[s["kind"]], t[s["start"] : s["end"]]) for s in spans] for t, spans in zip(texts, got)]
+    found = [[(pii.ALL_KINDS[s["kind"]], t[s["start"] : s["end"]]) for s in spans] for t, spans in zip(texts, got)]
     assert found[0] == [("phone", "(212) 555-0182")] and found[1] == [("phone", "0301234567")] and found[2] == [("email", "bob [at] mail [dot] org")]
     assert found[3] == found[4] == found[5] == [] and found[6] == [("ip", "fe80:0:0:0:202:b3ff:fe1e:8329")] and found[7] == [("phone", "+1 (403) 555-9312")]
 
@@ -146,10 +143,10 @@ def test_boosted_candidates(spark):
 def test_boosting_on_held_out_sentences(spark):
     model = pii.fit(spark)
     sample = pii.labelled_texts(600, seed=99)
-    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(sample)], "id int, text string")
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(sample)], "id int, text string")
     spans = {r["id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in pii.with_spans(df, model=model).collect()}
-    hit = sum(any(abs(x - a) <= 1 and abs(y - b) <= 1 for x, y in spans[i]) for i, (_, a, b) in enumerate(sample) if a >= 0)
-    false = sum(bool(spans[i]) for i, (_, a, _) in enumerate(sample) if a < 0)
+    hit = sum(any(abs(x - a) <= 1 and abs(y - b) <= 1 for x, y in spans[i]) for i, (_, a, b, _) in enumerate(sample) if a >= 0)
+    false = sum(bool(spans[i]) for i, (_, a, *_) in enumerate(sample) if a < 0)
     assert hit >= 0.8 * 300 and false <= 0.05 * 300
 
 
@@ -160,19 +157,17 @@ def test_trees_in_sql_are_the_trees(spark):
     x = rng.integers(0, 5, (200, len(pii.FEATURES))).astype(float)
     y = (x[:, 1] + x[:, 3] > 4).astype(float)
     model = pii.boost(x, y, 10, 0.3)
-    trees = pii.Trees(*model, 1.0, 0.0, (0.5,) * 4)
+    trees = pii.Trees(*model, 1.0, 0.0, (0.5,) * 5)
     f = F.struct(*[F.col(n) for n in pii.FEATURES])
     df = spark.createDataFrame(x.tolist(), list(pii.FEATURES)).coalesce(1)
-    got = [r["p"] for r in df.select(pii.probability(trees, f).alias("p")).collect()]
+    got = [r["p"] for r in df.select(f.alias("f")).select(F.expr(pii.probability(trees, "f")).alias("p")).collect()]
     assert np.allclose(got, 1 / (1 + np.exp(-pii.margins(model, x)))) and ((np.array(got) > 0.5) == (y > 0.5)).mean() > 0.9
 
 
 def test_redaction(spark, documents, no_documents):
     texts = [t for t in TRICKY if t is None or len(t) < 200] + ["x bob@x.io\n+1 (403) 555-9312"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
-    spans = {r["id"]: [(s["start"], s["end"], pii.KINDS[s["kind"]]) for s in r["spans"]] for r in pii.with_spans(df).collect()}
+    spans = {r["id"]: [(s["start"], s["end"], pii.ALL_KINDS[s["kind"]]) for s in r["spans"]] for r in pii.with_spans(df).collect()}
     for r in pii.redact(df).collect():
         assert r["text"] == brute.redacted(texts[r["id"]], spans[r["id"]])
     assert pii.redact(no_documents).count() == 0 and pii.redact(documents).columns == documents.columns
-    with pytest.raises(ValueError, match="rename"):
-        pii.redact(df.withColumn("spans", F.lit(1)))

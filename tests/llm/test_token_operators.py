@@ -20,7 +20,7 @@ from support import SF
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallgrass.llm import entries, hmm, packing, wfst
+from tallgrass.llm import entries, hmm, packing, pii, wfst
 
 machine = wfst.Transducer.load(wfst.default_model())
 library = sentencepiece.SentencePieceProcessor(model_file=wfst.default_model())
@@ -137,7 +137,7 @@ def test_forward_is_the_sum_over_paths():
     norm = lambda x: x / x.sum(-1, keepdims=True)
     m = hmm.Model(norm(rng.random(3)), norm(rng.random((3, 3))), norm(rng.random((3, 5))))
     seqs = [np.array(x, dtype="<u2") for x in ([0, 4, 2, 2, 1], [3, 3, 0], [1])]
-    logs, *_ = hmm.forward(m, seqs)
+    logs = hmm.forward(m, seqs)
     for seq, log in zip(seqs, logs):
         total = sum(m.start[p[0]] * m.emit[p[0], seq[0]] * math.prod(m.move[a, b] * m.emit[b, s] for a, b, s in zip(p, p[1:], seq[1:])) for p in itertools.product(range(3), repeat=len(seq)))
         assert log == pytest.approx(math.log10(total), abs=1e-9)
@@ -146,18 +146,73 @@ def test_forward_is_the_sum_over_paths():
     assert emits.sum(axis=0).tolist() == pytest.approx([2, 2, 2, 2, 1])
 
 
+def test_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    m = hmm.Model(norm(rng.random(3)), norm(rng.random((3, 3))), norm(rng.random((3, 9))))
+    seqs = [rng.integers(0, 9, n).astype("<i4") for n in (50, 33, 32, 31, 8, 1)]
+    whole = hmm.forward(m, seqs), hmm.expectations(m, seqs)
+    monkeypatch.setattr(hmm, "_BLOCK", 8)
+    parts = hmm.forward(m, seqs), hmm.expectations(m, seqs)
+    assert np.allclose(whole[0], parts[0])
+    for x, y in zip(whole[1], parts[1]):
+        assert np.allclose(x, y)
+    assert whole[1][0].sum() == pytest.approx(6) and whole[1][2].sum() == pytest.approx(sum(map(len, seqs)))
+
+
 def test_baum_welch_never_loses_likelihood(spark, documents):
-    s = hmm.Settings(states=3, rounds=4, classes=32)
+    s = hmm.Settings(states=3, rounds=4, classes=32, least=20)
     corpus = hmm.prepare(documents.select("doc_id", "text"), "doc_id", "text", s)
     model, seen = hmm.initial(corpus, s), []
     for _ in range(4):
         model, log = hmm.baum_welch(corpus, model, floor=1e-9)
         seen.append(log)
     assert seen == sorted(seen) and seen[-1] > seen[0]
+    totals = model.words.agg(*[F.sum(F.col("e")[k]).alias(f"s{k}") for k in range(3)]).first()
+    assert [x + y for x, y in zip(totals, model.core.emit.sum(axis=1))] == pytest.approx([1, 1, 1])
+
+
+def log_space_scores(rows, s, spark_model, spark_words):
+    """Scores by a forward recursion in logarithms, word by word, from the trained tables and plain counts."""
+    tokens = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + [" "]
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % s.folds == s.held
+    c = Counter(w for k, t in rows if not held(k) for w in tokens(t))
+    cls = lambda w: zlib.crc32(w[-2:].encode()) % s.classes
+    every = {w for _, t in rows for w in tokens(t)}
+    rare = [w for w in every if c[w] < s.least]
+    mass, kinds = Counter(), Counter()
+    for w in rare:
+        mass[cls(w)] += c[w]
+        kinds[cls(w)] += c[w] > 0
+    out = []
+    for k, t in rows:
+        alpha, total = None, 0.0
+        for w in tokens(t):
+            if w in spark_words:
+                e, share = spark_words[w], 0.0
+            else:
+                e, share = spark_model.emit[:, cls(w)], math.log((c[w] + 0.5) / (mass[cls(w)] + 0.5 * (kinds[cls(w)] + 1)))
+            step = np.log(spark_model.start) if alpha is None else np.logaddexp.reduce(alpha[:, None] + np.log(spark_model.move), axis=0)
+            alpha, total = step + np.log(np.asarray(e)), total + share
+        out.append((k, (np.logaddexp.reduce(alpha) + total) / math.log(10)))
+    return out
+
+
+def test_scores_by_an_independent_forward(spark, documents, document_rows):
+    s = hmm.Settings(states=3, rounds=2, classes=16, least=15)
+    corpus = hmm.prepare(documents.select("doc_id", "text"), "doc_id", "text", s)
+    model = hmm.initial(corpus, s)
+    for _ in range(2):
+        model, _ = hmm.baum_welch(corpus, model)
+    words = {r["word"]: r["e"] for r in model.words.collect()}
+    assert len(words) > 20
+    want = sorted((repr(k), round(x, 6)) for k, x in log_space_scores([(r[0], r[1]) for r in document_rows], s, model.core, words))
+    got = sorted((repr(r["doc_id"]), round(r["score"], 6)) for r in hmm._scores(corpus, model, "doc_id").collect())
+    assert [k for k, _ in got] == [k for k, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-5)
 
 
 def test_language_model(spark, documents, document_rows, no_documents):
-    got = hmm.score_hmm(documents.withColumn("score", F.lit(1)), settings=hmm.Settings(rounds=6)).toPandas()
+    got = hmm.score_hmm(documents.withColumn("score", F.lit(1)), settings=hmm.Settings(rounds=6, least=20)).toPandas()
     tokens = lambda t: (t or "").encode().lower().split() + [b" "]
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 1
     c = Counter(w for r in document_rows if not held(r[0]) for w in tokens(r[1]))
@@ -175,10 +230,10 @@ def test_language_model(spark, documents, document_rows, no_documents):
 
 def test_word_shares_sum_to_at_most_one(spark, documents):
     """P(word) over all known words and one unseen per class, given any state mixture, is at most one."""
-    s = hmm.Settings(states=2, frequent=8, classes=4)
+    s = hmm.Settings(states=2, least=30, classes=4)
     corpus = hmm.prepare(documents.select("doc_id", "text"), "doc_id", "text", s)
     tails = corpus.docs.select("tail").collect()
-    assert corpus.symbols <= 8 + 4 and all(r["tail"] <= 1e-12 for r in tails)
+    assert len(corpus.weights) == 4 and corpus.words.where("c < 30").count() == 0 and all(r["tail"] <= 1e-12 for r in tails)
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
@@ -187,13 +242,13 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     keep = brute.kept([(r[1], r[3]) for r in rows])
     docs = [r for r, k in zip(rows, keep) if k]
     lines = brute.deduped_lines([(r[0], r[1], r[3]) for r in docs])
-    docs = [(r[0], t) for r, (t, _, _) in zip(docs, lines)]
-    docs.sort()
-    parts = brute.components([brute.fingerprint(t) for _, t in docs])
-    docs = [d for i, d in enumerate(docs) if parts[i] == i]
-    texts = {k: brute.redacted(t, brute.base_spans(t)) for k, t in docs}
+    docs = sorted((r[0], t) for r, (t, _, _) in zip(docs, lines))
+    left = set(brute.without_similar(docs))
+    spans = {r["doc_id"]: [(s["start"], s["end"], pii.ALL_KINDS[s["kind"]]) for s in r["spans"]] for r in pii.with_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    texts = {k: brute.redacted(t, spans[k]) for k, t in docs if k in left}
+    assert any(spans.values()) and all(set(brute.base_spans(t)) <= set(spans[k]) for k, t in docs)
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert len(docs) < sum(keep) < len(rows)
+    assert len(left) < sum(keep) < len(rows)
     assert check_packing(pieces, texts) > 0.5
 
 
