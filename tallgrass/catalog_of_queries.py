@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation_queries, retrieval_queries, stage_queries, text_queries
+from .plans import evaluation_queries, flow_queries, retrieval_queries, stage_queries, text_queries
 
-_MODULES = (stage_queries, evaluation_queries, text_queries, retrieval_queries)
+_MODULES = (stage_queries, evaluation_queries, text_queries, retrieval_queries, flow_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -38,6 +38,19 @@ def _beyond_ascii(x: Column, f: Callable, ascii_form: Column) -> Column:
     return F.when(beyond, step(F.when(beyond, x))).otherwise(ascii_form)  # Python gets nulls for ASCII texts
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Letters of Latin scripts with accents, and each one's folded form where that is one ASCII letter."""
+    pairs = {}
+    for c in map(chr, (*range(0xA0, 0x250), *range(0x1E00, 0x1F00))):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare.isascii():
+            pairs[c] = bare
+    return "".join(pairs), "".join(pairs.values())
+
+
+_ACCENTED, _BARE = _plain_letters()
+
+
 def text_or_blank(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 
@@ -141,6 +154,8 @@ def part_of(cell: Column, name: str) -> Column:
 def terms(x: Column, ascii_only: bool = False, stop: Sequence[str] = STOP_WORDS) -> Column:
     """Words for matching: camel case apart, folded, no accents, two letters or more, no stop words."""
     x = F.regexp_replace(text_or_blank(x), "([a-z])([A-Z])", "$1 $2")
+    if not ascii_only:  # the usual accents go in the row itself; Python gets what is left beyond ASCII
+        x = F.translate(F.replace(x, F.lit("\u00DF"), F.lit("ss")), _ACCENTED, _BARE)
     x = F.lower(x) if ascii_only else _beyond_ascii(x, _bare, F.lower(x))
     words = F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0))
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop))

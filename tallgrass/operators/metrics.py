@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .audit import Violation
+from .catalog import require_bounded
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -71,6 +72,43 @@ def label_union(sources: Sequence[tuple[int, DataFrame]], key: Sequence[str]) ->
     return rows.withColumn("_n", best).where("_n = 1").drop("_n", "_rank")
 
 
+def pair_quality(labels: DataFrame, candidates: DataFrame, results: DataFrame, key: Sequence[str], truth: str = "human_verdict", guess: str = "verdict") -> DataFrame:
+    """One row a view of how pairs were told: ``conditional`` counts labelled pairs with a yes or no result,
+    ``end_to_end`` all labelled pairs, of which those without a yes result count as no; and the recall of the candidates.
+
+    ``results`` are succeeded ones, one a key; labels other than yes and no are left out.
+    """
+    known = labels.where(F.col(truth).isin("yes", "no")).select(*key, F.col(truth).alias("t"))
+    rows = known.join(results.select(*key, F.col(guess).alias("g")), list(key), "left").join(candidates.select(*key).distinct().withColumn("c", F.lit(True)), list(key), "left")
+    views = F.array(F.struct(F.lit("conditional").alias("view"), F.col("g").alias("guess")), F.struct(F.lit("end_to_end").alias("view"), F.when(F.col("g") == "yes", "yes").otherwise("no").alias("guess")))
+    recall = rows.agg(ratio(F.count_if((F.col("t") == "yes") & F.col("c")), F.count_if(F.col("t") == "yes")).alias("candidate_recall"))
+    counts = binary_metrics(rows.select("t", F.explode(views).alias("v")).select("t", "v.*"), "t", "guess", ["view"])
+    return counts.join(F.broadcast(recall))  # one row
+
+
+def with_diagnosis(rows: DataFrame, key: str, label: str, notes: DataFrame, default: str = "needs_human_review") -> DataFrame:
+    """Add ``diagnosis``: for false positives and negatives what ``notes`` (key, diagnosis; bounded) says of them, or ``default``; else blank."""
+    require_bounded(notes, 100_000, "the table of notes")
+    wrong = F.col(label).isin("FP", "FN")
+    joined = rows.join(F.broadcast(notes.select(key, F.col("diagnosis").alias("_note"))), key, "left")
+    return joined.withColumn("diagnosis", F.when(wrong, F.coalesce("_note", F.lit(default))).otherwise("")).drop("_note")
+
+
+def recovery(due: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """How gold pairs were recovered: pairs, hits, those found by semantics alone or by family alone, and recall.
+
+    ``due``: one row a gold pair with ``reasons``, the array of mechanisms that found it (null or empty: none).
+    """
+    r = F.coalesce("reasons", F.array().cast("array<string>"))
+    has = lambda *names: F.arrays_overlap(r, F.array(*map(F.lit, names)))
+    hit, semantic = F.size(r) > 0, has("semantic_minimum", "semantic_threshold", "lsa_minimum", "lsa_threshold")
+    out = due.groupBy(*by).agg(
+        F.count("*").alias("pairs"), F.count_if(hit).alias("hits"), F.count_if(semantic & ~has("lexical")).alias("semantic_only"),
+        F.count_if(hit & (F.size(F.array_except(r, F.array(F.lit("family_expansion")))) == 0)).alias("family_only"), F.count_if(has("lexical")).alias("lexical"),
+    )
+    return out.withColumns({"recall": ratio(F.col("hits"), F.col("pairs")), "lexical_rate": ratio(F.col("lexical"), F.col("pairs"))})
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, rows) of several columns in one pass; null and blank count as missing."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("(missing)")).alias("value")) for c in columns])

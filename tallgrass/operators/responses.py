@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +56,72 @@ def schema_errors(text: Column, schema: dict) -> Column:
     return F.filter(F.array(*check(text, "$", schema)), lambda x: x.isNotNull())
 
 
-def decode_wire(text: Column, stage: int) -> tuple[Column, Column]:
-    """Long-keyed JSON of a compact response, and an error. Payloads without any short key pass as they are."""
+def outcome(response: Column) -> Column:
+    """What a server's JSON answer comes to: struct(text, error, stop_reason, response_id, model, the token counts, rates).
+
+    Answers of both shapes are read: ``candidates`` with a finish reason, and ``choices`` with a message.
+    A blocked prompt, a finish other than STOP (``length`` counts as MAX_TOKENS), no choices and a blank
+    text are errors; the first that holds is named. A null answer is an error too.
+    """
+    at = lambda *paths: F.coalesce(*[F.get_json_object(response, f"$.{p}") for p in paths])
+    number = lambda *paths: at(*paths).try_cast("double")
+    chosen = at("choices").isNotNull()
+    raw = F.lower(F.coalesce(at("choices[0].finish_reason"), F.lit("")))
+    own = F.when(raw.isin("", "stop"), "STOP").when(raw.isin("length", "max_tokens"), "MAX_TOKENS").otherwise(F.upper(raw))
+    stop = F.when(chosen, own).otherwise(F.upper(F.regexp_replace(F.coalesce(at("candidates[0].finish_reason", "candidates[0].finishReason"), F.lit("")), r"^.*\.", "")))
+    parts = F.from_json(at("candidates[0].content.parts"), "array<struct<text: string>>")
+    text = strip(F.coalesce(F.when(chosen, at("choices[0].message.content")).otherwise(F.coalesce(at("text"), F.array_join(F.transform(parts, lambda p: p["text"]), ""))), F.lit("")))
+    block = at("prompt_feedback.block_reason", "promptFeedback.blockReason")
+    error = _first(
+        (response.isNull() | F.json_object_keys(response).isNull(), "no answer"), (block.isNotNull(), "prompt blocked"), (chosen & at("choices[0]").isNull(), "no choices"),
+        (~stop.isin("STOP", ""), "finish is not STOP"), (text == "", "no text"),
+    )
+    count = lambda *paths: number(*paths).cast("long")
+    usage = {
+        "input_tokens": count("usage.prompt_tokens", "usage_metadata.prompt_token_count", "usageMetadata.promptTokenCount"), "output_tokens": count("usage.completion_tokens", "usage_metadata.candidates_token_count", "usageMetadata.candidatesTokenCount"),
+        "total_tokens": count("usage.total_tokens", "usage_metadata.total_token_count", "usageMetadata.totalTokenCount"), "thoughts_tokens": count("usage_metadata.thoughts_token_count", "usageMetadata.thoughtsTokenCount"),
+        "cached_input_tokens": count("usage.prompt_tokens_details.cached_tokens", "usage_metadata.cached_content_token_count", "usageMetadata.cachedContentTokenCount"),
+        "prompt_tokens_per_second": number("timings.prompt_per_second", "timings.prompt_tokens_per_second"), "generation_tokens_per_second": number("timings.predicted_per_second", "timings.generation_tokens_per_second"),
+    }
+    told = {"response_id": F.coalesce(at("id", "response_id", "responseId"), F.lit("")), "model": F.coalesce(at("model", "model_version", "modelVersion"), F.lit(""))}
+    return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"), stop.alias("stop_reason"), *[v.alias(k) for k, v in (told | usage).items()])
+
+
+def wire_schema(schema: dict, stage: int) -> dict:
+    """A response schema with the short keys."""
+    def short(node: dict, names: dict[str, str]) -> dict:
+        return node | {"properties": {names[k]: v for k, v in node["properties"].items()}, "required": [names[k] for k in node.get("required", ())]}
+
+    out = short(schema, WIRE1 if stage == 1 else WIRE2)
+    if stage == 1:
+        items = out["properties"]["c"]
+        out["properties"] = out["properties"] | {"c": items | {"items": short(items["items"], WIRE_CANDIDATE)}}
+    return out
+
+
+def wire_legend(stage: int) -> str:
+    """A line that explains the short keys."""
+    told = lambda names: ", ".join(f"{s}={n}" for n, s in names.items())
+    return f"Keys: {told(WIRE1)}; within c: {told(WIRE_CANDIDATE)}." if stage == 1 else f"Keys: {told(WIRE2)}."
+
+
+def encode_wire(value: Column, stage: int, ids: Mapping[str, str] | None = None) -> Column:
+    """JSON with short keys of a payload struct, patterns by their ids where ``ids`` (name to id, bounded) has them."""
+    table = F.create_map(*[F.lit(x) for p in (ids or {"": ""}).items() for x in p])
+    coded = lambda n: F.coalesce(F.try_element_at(table, n), n)
+    if stage == 1:
+        items = F.transform(value["candidates"], lambda c: F.struct(*[(coded(c[n]) if n == "pattern" else c[n]).alias(s) for n, s in WIRE_CANDIDATE.items()]))
+        return F.to_json(F.struct(*[(items if n == "candidates" else value[n]).alias(s) for n, s in WIRE1.items()]))
+    special = {"alternative_pattern": lambda x: F.when(x != "", coded(x)).otherwise(x), "overlap_with": lambda x: F.transform(x, coded)}
+    return F.to_json(F.struct(*[special.get(n, lambda x: x)(value[n]).alias(s) for n, s in WIRE2.items()]))
+
+
+def decode_wire(text: Column, stage: int, ids: Mapping[str, str] | None = None, allowed: Column | None = None) -> tuple[Column, Column]:
+    """Long-keyed JSON of a compact response, and an error. Payloads without any short key pass as they are.
+
+    ``ids`` (name to id, bounded) gives names back for ids; an id or name that it lacks is an error, as is a
+    stage-1 pattern outside ``allowed``, an array of names.
+    """
     short = WIRE1 if stage == 1 else WIRE2
     keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
     compact = F.arrays_overlap(keys, F.array(*map(F.lit, short.values())))
@@ -72,6 +136,23 @@ def decode_wire(text: Column, stage: int) -> tuple[Column, Column]:
         row = F.from_json(text, ", ".join(f"{s} {kinds[n]}" for n, s in short.items()))
         long = F.struct(*[row[s].alias(n) for n, s in short.items()])
     error = F.when(compact & ~whole, F.lit("compact response with missing, mixed or unknown keys"))
+    if ids is not None:
+        table = F.create_map(*[F.lit(x) for n, i in ids.items() for p in ((i, n), (n, n)) for x in p]) if ids else F.create_map()
+        plain = F.from_json(text, STAGE1_PAYLOAD if stage == 1 else STAGE2_PAYLOAD)
+        told = F.when(compact, long).otherwise(plain if stage == 2 else F.struct(*[plain[n].alias(n) for n in WIRE1]))
+        if stage == 1:
+            used = F.transform(told["candidates"], lambda c: c["pattern"])
+            named = F.transform(told["candidates"], lambda c: F.struct(*[(F.try_element_at(table, c[n]) if n == "pattern" else c[n]).alias(n) for n in WIRE_CANDIDATE]))
+            long = F.struct(*[(named if n == "candidates" else told[n]).alias(n) for n in WIRE1])
+        else:
+            used = F.concat(F.filter(F.array(told["alternative_pattern"]), lambda x: x != ""), F.coalesce(told["overlap_with"], F.array().cast("array<string>")))
+            other = F.when(told["alternative_pattern"] != "", F.try_element_at(table, told["alternative_pattern"])).otherwise(told["alternative_pattern"])
+            swapped = {"alternative_pattern": other, "overlap_with": F.transform(told["overlap_with"], lambda x: F.try_element_at(table, x))}
+            long = F.struct(*[swapped.get(n, told[n]).alias(n) for n in WIRE2])
+        error = F.coalesce(error, F.when(F.exists(used, lambda x: F.try_element_at(table, x).isNull()), F.lit("pattern unknown")))
+        if allowed is not None:
+            error = F.coalesce(error, F.when(F.exists(used, lambda x: ~F.array_contains(allowed, F.try_element_at(table, x))), F.lit("pattern outside the shortlist")))
+        compact, whole = F.lit(True), whole | ~compact
     if stage == 2:
         flags = [F.get_json_object(text, f"$.{k}") for n in ("mechanism_match", "scope_match", "focus_match") for k in (short[n], n)]
         for f in flags:
@@ -79,7 +160,7 @@ def decode_wire(text: Column, stage: int) -> tuple[Column, Column]:
     return F.when(compact & whole, F.to_json(long)).when(~compact, text), error
 
 
-def _known(value: Column, names: Sequence[str], ascii_only: bool) -> Column:
+def known_name(value: Column, names: Sequence[str], ascii_only: bool = True) -> Column:
     """Canonical name of a closed vocabulary in the row itself, or null. The vocabulary is bounded and part of the plan."""
     if len(names) > _MAX_INLINE:
         raise ValueError("use operators.vocab for large vocabularies")
@@ -90,7 +171,7 @@ def _known(value: Column, names: Sequence[str], ascii_only: bool) -> Column:
 
 
 def _each_known(values: Column, names: Sequence[str]) -> Column:
-    return F.transform(values, lambda v: _known(v, names, True))
+    return F.transform(values, lambda v: known_name(v, names, True))
 
 
 def _challenges(values: Column, default: bool) -> Column:
@@ -107,8 +188,8 @@ def normalize_stage1(df: DataFrame, text: str, patterns: Sequence[str]) -> DataF
     """Add ``value`` (struct, null on error) and ``error`` (the first broken rule, null if none) of a stage-1 response."""
     df = df.withColumn("_j", json_object(F.col(text))).withColumn("_p", F.from_json("_j", STAGE1_PAYLOAD))
     p = F.col("_p")
-    summary, kind, context = clean_text(p["issue_summary"], True), _known(p["issue_activity_type"], ACTIVITY_TYPES, True), _known(p["context_status"], CONTEXT, True)
-    item = lambda c: F.struct(_known(c["pattern"], patterns, True).alias("pattern"), clean_text(c["evidence_text"], True).alias("evidence_text"), _known(c["evidence_location"], LOCATIONS, True).alias("evidence_location"), clean_text(c["rationale"], True).alias("rationale"), _known(c["confidence"], CONFIDENCE, True).alias("confidence"))
+    summary, kind, context = clean_text(p["issue_summary"], True), known_name(p["issue_activity_type"], ACTIVITY_TYPES, True), known_name(p["context_status"], CONTEXT, True)
+    item = lambda c: F.struct(known_name(c["pattern"], patterns, True).alias("pattern"), clean_text(c["evidence_text"], True).alias("evidence_text"), known_name(c["evidence_location"], LOCATIONS, True).alias("evidence_location"), clean_text(c["rationale"], True).alias("rationale"), known_name(c["confidence"], CONFIDENCE, True).alias("confidence"))
     all_items = F.transform(F.coalesce(p["candidates"], F.from_json(F.lit("[]"), STAGE1_PAYLOAD.split("candidates ")[1])), item)
     df = df.withColumn("_c", all_items)
     names = F.transform("_c", lambda c: c["pattern"])
@@ -143,12 +224,12 @@ def normalize_stage2(df: DataFrame, text: str, patterns: Sequence[str]) -> DataF
     own = df.columns
     df = df.withColumn("_p", F.from_json(json_object(F.col(text)), STAGE2_PAYLOAD))
     p, empty = F.col("_p"), F.array().cast("array<string>")
-    alternative = F.when(clean_token(p["alternative_pattern"], True) == "", F.lit("")).otherwise(_known(p["alternative_pattern"], patterns, True))
+    alternative = F.when(clean_token(p["alternative_pattern"], True) == "", F.lit("")).otherwise(known_name(p["alternative_pattern"], patterns, True))
     parsed = {
-        "verdict": _known(p["verdict"], VERDICTS, True), **{f: F.coalesce(p[f], F.lit(True)) for f in ("mechanism_match", "scope_match", "focus_match")},
+        "verdict": known_name(p["verdict"], VERDICTS, True), **{f: F.coalesce(p[f], F.lit(True)) for f in ("mechanism_match", "scope_match", "focus_match")},
         "evidence_text": clean_text(p["evidence_text"], True), "evidence_location": F.array_distinct(F.coalesce(_each_known(p["evidence_location"], LOCATIONS), empty)), "justification": clean_text(p["justification"], True),
-        "adoption_status": _known(p["adoption_status"], ADOPTION, True), "false_friend_detected": _known(p["false_friend_detected"], FALSE_FRIEND, True), "pattern_challenge_categories": _challenges(p["pattern_challenge_categories"], False),
-        "confidence": _known(p["confidence"], CONFIDENCE, True), "alternative_pattern": alternative, "overlap_with": F.array_distinct(F.coalesce(_each_known(p["overlap_with"], patterns), empty)),
+        "adoption_status": known_name(p["adoption_status"], ADOPTION, True), "false_friend_detected": known_name(p["false_friend_detected"], FALSE_FRIEND, True), "pattern_challenge_categories": _challenges(p["pattern_challenge_categories"], False),
+        "confidence": known_name(p["confidence"], CONFIDENCE, True), "alternative_pattern": alternative, "overlap_with": F.array_distinct(F.coalesce(_each_known(p["overlap_with"], patterns), empty)),
     }
     strange = F.exists(_each_known(p["pattern_challenge_categories"], CHALLENGES), lambda v: v.isNull())
     inner = df.select(*[F.col(c).alias(f"_own_{c}") for c in own], p.isNull().alias("_bad"), strange.alias("_strange"), *[v.alias(n) for n, v in parsed.items()])

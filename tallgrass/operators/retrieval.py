@@ -180,6 +180,20 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / norm)
 
 
+def dense_cosines(chunks: DataFrame, key: str, vector: str, entries: DataFrame, name: str, entry: str, chunk: str = "chunk") -> DataFrame:
+    """(key, name, score, chunk): the best chunk of each key for each entry, by the cosine of their vectors.
+
+    Vectors are brought to unit length, cosines are kept within -1 and 1 and rounded to 8 places; the first
+    of equal chunks counts. The entries are a bounded catalog; a key has a row an entry.
+    """
+    require_bounded(entries, MOST_ENTRIES, "the table of vectors")
+    packed = entries.agg(F.collect_list(F.struct(F.col(name).alias("n"), unit(F.col(entry)).alias("e"))).alias("_all"))
+    rows = chunks.select(key, chunk, unit(F.col(vector)).alias("_v")).join(F.broadcast(packed))  # one row
+    cosine = lambda e: F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("_v"), e["e"]))), 8)
+    scored = rows.select(key, chunk, F.explode(F.transform("_all", lambda e: F.struct(e["n"].alias("n"), cosine(e).alias("s")))).alias("x"))
+    return max_over_chunks(scored.select(key, chunk, F.col("x.n").alias(name), F.col("x.s").alias("_s")), [key, name], chunk, "_s")
+
+
 def dense_topk(queries: DataFrame, key: str, vector: str, entries: DataFrame, name: str, entry: str, k: int) -> DataFrame:
     """(key, name, score, rank) of the k entries with the largest inner product; the entries are a bounded catalog."""
     require_bounded(entries, MOST_ENTRIES, "the table of vectors")
@@ -254,10 +268,14 @@ def shortlist(docs: DataFrame, scores: str, lexical: str, names: Sequence[str],
 
 
 def false_friends(docs: DataFrame, key: str, text: str, candidates: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, pattern, reason): rules (pattern, regex, reason) that hit a text, for its own candidates only."""
+    """(key, pattern, reason): rules (pattern, regex, reason) that hit a text, for its own candidates only.
+
+    Candidates are gathered into one small array a key first, so a text is met once, not once a rule.
+    """
     require_bounded(rules, MOST_ENTRIES, "the table of rules")
-    due = candidates.select(key, "pattern").join(F.broadcast(rules), "pattern")
-    return due.join(docs.select(key, text), key).where(F.regexp_like(F.col(text), F.col("regex"))).select(key, "pattern", "reason")
+    held = candidates.join(F.broadcast(rules.select("pattern").distinct()), "pattern", "left_semi").groupBy(key).agg(F.collect_set("pattern").alias("_due"))
+    due = docs.select(key, text).join(held, key).select(key, text, F.explode("_due").alias("pattern")).join(F.broadcast(rules), "pattern")
+    return due.where(F.regexp_like(F.col(text), F.col("regex"))).select(key, "pattern", "reason")
 
 
 def expand_families(selected: DataFrame, key: str, name: str, members: DataFrame) -> DataFrame:

@@ -7,20 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import split_multivalue
+from ..scratch import materialize
 from ..types import ERRORED, KEY, PAIR_KEY, SUCCEEDED
 from .audit import duplicate_keys, require
+from .responses import known_name
 
 
-def explode_pairs(stage1: DataFrame, strict: bool = True) -> DataFrame:
+def explode_pairs(stage1: DataFrame, strict: bool = True, names: Sequence[str] = ()) -> DataFrame:
     """(repository, issue_number, pattern, candidate_pos) of the succeeded issues' JSON lists of candidates.
 
-    ``strict``: a cell that is no JSON list, or names a pattern twice, is an error; else such cells have no
-    pairs and repeats count once.
+    ``strict``: a cell that is no JSON list, or names a pattern twice, is an error. Else the request's
+    status doesn't matter, a cell that is no JSON list is one of names between bars or semicolons, names
+    take the form they have in ``names`` (as they are where none is given or known), and repeats count once.
     """
     rows = stage1.where(F.coalesce(F.col("request_status"), F.lit(SUCCEEDED)) == SUCCEEDED) if strict and "request_status" in stage1.columns else stage1
     parsed = rows.withColumn("_c", F.from_json("candidates", "array<string>"))
     if strict:
         require(parsed.where("_c is null").select(*KEY, "candidates"), "candidates are no JSON list")
+    if not strict:
+        listed = F.coalesce("_c", F.when(F.substring(F.trim("candidates"), 1, 1) != "[", split_multivalue(F.col("candidates"))))
+        clean = F.filter(F.transform(listed, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
+        parsed = parsed.withColumn("_c", F.transform(clean, lambda v: F.coalesce(known_name(v, names), v)) if names else clean)
     pairs = parsed.select(*KEY, F.posexplode("_c").alias("candidate_pos", "pattern"))
     if strict:
         require(duplicate_keys(pairs, PAIR_KEY), "candidates named twice")
@@ -42,8 +50,10 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
 def match_responses(requests: DataFrame, responses: DataFrame, id_column: str = "custom_id", pos: str = "pos") -> DataFrame:
     """Each request with its first response; a request without one has request_status errored.
 
-    Responses lacking all ids are matched by place, if there are as many of them as requests (both need ``pos``).
+    Responses lacking all ids are matched by place, if there are as many of them as requests (both need
+    ``pos``). The responses are stored first, so that their source runs once.
     """
+    responses = materialize(responses, "answers")  # a source that is asked twice may give other answers
     named = responses.where(F.col(id_column).isNotNull() & (F.col(id_column) != ""))
     if named.isEmpty() and not responses.isEmpty():
         if requests.count() != responses.count():
@@ -93,20 +103,22 @@ def pack_requests(requests: DataFrame, run: str, pos: str, size: str, max_items:
     """Add ``batch`` (from 0): greedily filled in the order of ``pos`` up to a count and a size (two bytes each batch, one each request).
 
     Filling is sequential, so each ``run`` of requests folds as one array of small structs: a run is one
-    submission, not a corpus. A request that alone is too large is an error.
+    submission, not a corpus. The fold keeps the batches' first places only, and each request takes the
+    last one before it, so the work is linear in a run. ``pos`` tells the requests of a run apart. A
+    request that alone is too large is an error.
     """
     require(requests.where(F.col(size) + 1 > max_bytes).select(run, pos, size), "requests larger than a batch")
     items = requests.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), (F.col(size) + 1).alias("s")))).alias("a"))
-    start = F.expr("named_struct('b', 0, 'n', 0, 'u', 2L, 'out', cast(array() as array<int>))")
+    kind = dict(requests.dtypes)[pos]
+    start = F.expr(f"named_struct('n', 0, 'u', 2L, 'out', cast(array() as array<{kind}>))")
 
     def step(a, x):
-        new = (a["n"] > 0) & ((a["n"] >= max_items) | (a["u"] + x["s"] > max_bytes))
-        b = a["b"] + new.cast("int")
-        return F.struct(b.alias("b"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"), F.when(new, 2 + x["s"]).otherwise(a["u"] + x["s"]).cast("long").alias("u"), F.concat(a["out"], F.array(b)).alias("out"))
+        new = (F.size(a["out"]) == 0) | (a["n"] >= max_items) | (a["u"] + x["s"] > max_bytes)
+        return F.struct(F.when(new, 1).otherwise(a["n"] + 1).alias("n"), F.when(new, 2 + x["s"]).otherwise(a["u"] + x["s"]).cast("long").alias("u"), F.when(new, F.concat(a["out"], F.array(x["p"]))).otherwise(a["out"]).alias("out"))
 
-    folded = items.select(run, "a", F.aggregate("a", start, step, lambda a: a["out"]).alias("out"))
-    placed = folded.select(run, F.explode(F.zip_with("a", "out", lambda x, b: F.struct(x["p"].alias(pos), b.alias("batch")))).alias("x")).select(run, "x.*")
-    return requests.join(placed, [run, pos])
+    firsts = items.select(run, F.posexplode(F.aggregate("a", start, step, lambda a: a["out"])).alias("_batch", pos))
+    so_far = Window.partitionBy(run).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return requests.join(firsts, [run, pos], "left").withColumn("batch", F.last("_batch", ignorenulls=True).over(so_far)).drop("_batch")
 
 
 def reusable_job(jobs: DataFrame, requests: DataFrame, model: str) -> DataFrame:

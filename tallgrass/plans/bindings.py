@@ -29,7 +29,7 @@ FROM {orders}
 """
 INPUTS = """
 SELECT 'shop' AS repository, concat('', o_orderkey) AS issue_number, concat(' ', o_orderpriority, ' ') AS labels, 'retail' AS repository_category, o_orderstatus AS state, o_orderkey AS pos
-FROM {orders} WHERE o_orderkey % 10 <> 0
+FROM {orders}
 """
 LABELLED = """
 SELECT d.source AS repository, concat('', d.doc_id) AS issue_number, d.doc_id, d.lang, d.n_chars, l.doc_id IS NOT NULL AS labelled,

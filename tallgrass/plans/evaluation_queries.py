@@ -110,12 +110,12 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return metrics.leave_one_out(rows.withColumn("misses", F.coalesce("misses", F.lit(0))), "fold", "config", "misses", "shortlist", "tokens")
 
 
-@query(oracle("labelled") + """, u AS (SELECT doc_id, 1 AS rank, human AS verdict, NULL AS guess FROM labelled WHERE human IS NOT NULL AND doc_id % 2 = 0 UNION ALL SELECT doc_id, 2, baseline, optimized FROM labelled WHERE doc_id % 3 = 0)
+@query(oracle("labelled") + """, u AS (SELECT doc_id, 1 AS rank, human AS verdict, NULL AS guess FROM labelled WHERE human IS NOT NULL UNION ALL SELECT doc_id, 2, baseline, optimized FROM labelled)
 SELECT doc_id, verdict, guess FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank) = 1""")
 def label_source_union(spark: SparkSession, d: str) -> DataFrame:
     rows = bound(spark, d, "labelled")
-    pairs = rows.where("human is not null and doc_id % 2 = 0").select("doc_id", F.col("human").alias("verdict"))
-    inferred = rows.where("doc_id % 3 = 0").select("doc_id", F.col("baseline").alias("verdict"), F.col("optimized").alias("guess"))
+    pairs = rows.where("human is not null").select("doc_id", F.col("human").alias("verdict"))
+    inferred = rows.select("doc_id", F.col("baseline").alias("verdict"), F.col("optimized").alias("guess"))
     return metrics.label_union([(1, pairs), (2, inferred)], ["doc_id"])
 
 

@@ -13,25 +13,25 @@ from .registry import registry
 QUERIES, SQL, query = registry()
 
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')"
+FOLDED = "lower(strip_accents(replace(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g'), 'ß', 'ss')))"
 
 
 def _terms(table: str, key: str) -> str:
-    """DuckDB text: (key, term, tf) of a table's ASCII terms."""
-    return f"""(SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(regexp_extract_all(lower(regexp_replace({ASCII}, '([[:lower:]])([[:upper:]])', '\\1 \\2', 'g')), '[a-z0-9]+')) AS term FROM {table}) WHERE length(term) > 1 AND term NOT IN ({STOP}) GROUP BY ALL)"""
+    """DuckDB text: (key, term, tf) of a table's terms: folded letters without accents."""
+    return f"""(SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(regexp_extract_all({FOLDED}, '[a-z0-9]+')) AS term FROM {table}) WHERE length(term) > 1 AND term NOT IN ({STOP}) GROUP BY ALL)"""
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return sql(spark, d, "SELECT doc_id, text FROM {documents}").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", " "))
+    return sql(spark, d, "SELECT doc_id, text FROM {documents}")
 
 
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
-    return sql(spark, d, "SELECT item_id, text FROM {benchmark}").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", " "))
+    return sql(spark, d, "SELECT item_id, text FROM {benchmark}")
 
 
 @query("SELECT * FROM " + _terms("documents", "doc_id"))
 def terms_tf(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.term_counts(_docs(spark, d), "doc_id", "text", True)
+    return retrieval.term_counts(_docs(spark, d), "doc_id", "text")
 
 
 IDF = "c AS (SELECT * FROM " + _terms("benchmark", "item_id") + "), i AS (SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term)"
@@ -41,7 +41,7 @@ IDF = "c AS (SELECT * FROM " + _terms("benchmark", "item_id") + "), i AS (SELECT
 def idf(spark: SparkSession, d: str) -> DataFrame:
     entries = _catalog(spark, d)
     n = retrieval.require_bounded(entries, retrieval.MOST_ENTRIES, "the catalog")
-    return retrieval.inverse_frequency(retrieval.term_counts(entries, "item_id", "text", True), n).withColumn("idf", F.round("idf", 9))
+    return retrieval.inverse_frequency(retrieval.term_counts(entries, "item_id", "text"), n).withColumn("idf", F.round("idf", 9))
 
 
 SCORES = (
@@ -52,7 +52,7 @@ s AS (SELECT doc_id, item_id, round(sum(dw.w * cw.w) / (any_value(dn.n) * any_va
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    out = retrieval.tfidf_scores(_docs(spark, d), "doc_id", "text", _catalog(spark, d), "item_id", "text", True)
+    out = retrieval.tfidf_scores(_docs(spark, d), "doc_id", "text", _catalog(spark, d), "item_id", "text")
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -114,9 +114,9 @@ def hybrid_shortlist(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.array_join(F.transform("candidates", lambda x: x.cast("string")), "|").alias("candidates"), "fallback_used", "family_added")
 
 
-@query("WITH s AS (SELECT doc_id, doc_id % 40 AS item_id FROM documents WHERE doc_id % 3 = 0), m AS (SELECT item_id, item_id % 8 AS family FROM benchmark) SELECT * FROM s UNION SELECT s.doc_id, o.item_id FROM s JOIN m USING (item_id) JOIN m o USING (family)")
+@query("WITH s AS (SELECT doc_id, doc_id % 64 AS item_id FROM documents), m AS (SELECT item_id, item_id % 8 AS family FROM benchmark) SELECT * FROM s UNION SELECT s.doc_id, o.item_id FROM s JOIN m USING (item_id) JOIN m o USING (family)")
 def family_expansion(spark: SparkSession, d: str) -> DataFrame:
-    selected = sql(spark, d, "SELECT doc_id, doc_id % 40 AS item_id FROM {documents} WHERE doc_id % 3 = 0")
+    selected = sql(spark, d, "SELECT doc_id, doc_id % 64 AS item_id FROM {documents}")
     members = sql(spark, d, "SELECT item_id % 8 AS family, item_id FROM {benchmark}")
     return retrieval.expand_families(selected, "doc_id", "item_id", members)
 

@@ -24,16 +24,22 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", replace: bool = True, **options: object) -> None:
-    """Write beside ``path``, then rename: readers see the old table or the new one."""
+    """Write beside ``path``, then rename. The old table is moved aside before and deleted after, so it is never
+    lost: a failure between leaves it whole under ``path``.old-... (a plain file system can't swap two folders)."""
     spark = df.sparkSession
     if not replace and exists(spark, path):
         raise Violation(f"{path} exists")
     stage = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex[:8]}"
     df.write.format(fmt).options(**options).save(stage)
     fs, p, jvm = _fs(spark, path)
-    fs.delete(p, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
+    moved = fs.exists(p) and fs.rename(p, aside)
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(stage), p):
+        if moved:
+            fs.rename(aside, p)
         raise OSError(f"can't rename to {path}")
+    if moved:
+        fs.delete(aside, True)
 
 
 def write_csv(df: DataFrame, path: str, replace: bool = True) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ledger import REPLAY
 from ..operators.stages import upsert
-from ..scratch import new_path
+from ..scratch import materialize, new_path
 from ..sources.sinks import exists, write_table
 from ..types import LEDGER
 
@@ -30,12 +30,28 @@ def windowed(calls: DataFrame, time: str, every: str, by: Sequence[str], late: s
     return out.select(F.col("w.start").alias("start"), *by, "calls")
 
 
-def upsert_stream(results: DataFrame, path: str, key: Sequence[str], checkpoint: str):
-    """Keep a table of the latest result of each key; a batch that is run again changes nothing."""
+def upsert_stream(results: DataFrame, path: str, key: Sequence[str], checkpoint: str, order: str | None = None, parts: int = 64):
+    """Keep a table of the latest result of each key, the one with the largest ``order`` (any of them if none is
+    named); a batch that is run again changes nothing, and a late row doesn't replace a later one.
+
+    The table lies in ``parts`` folders by a hash of the key. A batch writes those anew that its keys fall
+    into and leaves the others alone.
+    """
+    def latest(rows: DataFrame) -> DataFrame:
+        best = F.max_by(F.struct(*rows.columns), F.struct(order, F.xxhash64(*rows.columns)) if order else F.xxhash64(*rows.columns))
+        return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(best.alias("_r")).select("_r.*")
+
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(list(key))
-        write_table(upsert(spark.read.parquet(path), new, key) if exists(spark, path) else new, path)
+        part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
+        new = materialize(latest(batch).withColumn("_part", part), "batch")
+        for r in new.select("_part").distinct().orderBy("_part").collect():  # at most ``parts`` numbers
+            at, own = f"{path}/_part={r['_part']}", new.where(F.col("_part") == r["_part"]).drop("_part")
+            old = spark.read.parquet(at) if exists(spark, at) else None
+            if old is None:
+                write_table(own, at)
+            else:
+                write_table(latest(old.unionByName(own)) if order else upsert(old, own, key), at)
 
     return results.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
