@@ -19,6 +19,7 @@ from .common import materialize, ready
 
 _TAIL = ".,!?;:"
 _MOST = 1_000_000
+_LONG = 64  # characters of a word that is kept
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _RUN = 1 << 20  # words whose ids are laid out at once
 _loaded: dict[str, tuple] = {}
@@ -68,8 +69,15 @@ class WordEncoder:
         raw, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
         return [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
+    def _apart(self, parts: list[str], pre_tokens: bool) -> dict[str, bytes]:
+        short, long = [p for p in parts if len(p) <= _LONG], [p for p in parts if len(p) > _LONG]
+        return dict(zip(short, self._ids_of(short, pre_tokens), strict=True)) | dict(zip(long, self._one_by_one(long), strict=True))
+
     def _ids_of(self, parts: list[str], pre_tokens: bool) -> list[bytes]:
         known = self.parts
+        if any(len(p) > _LONG for p in parts):  # long ones are encoded for this batch and not kept, so that what is kept is bounded in bytes too
+            own = self._apart(parts, pre_tokens)
+            return [own[p] for p in parts]
         if new := [p for p in parts if p not in known]:
             if pre_tokens:  # those in ASCII need no normalising and no mapping of bytes
                 cut = self.tokenizer.model.tokenize
@@ -233,29 +241,28 @@ def balanced(lengths: np.ndarray, capacity: int) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int = 4096, group: int = 1024, length: str = "length") -> DataFrame:
     """Add sequence_id and offset (long) to stored ``pieces`` with a ``length`` of 1 to ``capacity``.
 
-    Full pieces are windows of their own. The rest are dealt evenly into groups of about ``group`` rows
-    by row, not by key, and each group is packed by differencing in one small task; a group costs one
-    partly filled window's padding at most beyond what differencing leaves. Repeated rows are packed
-    like any others; an empty table gives an empty result.
+    Full pieces are windows of their own and take no part in what follows. The rest are dealt evenly
+    into groups of about ``group`` rows by row, not by key, and each group is packed by differencing in
+    one small task; a group costs one partly filled window's padding at most beyond what differencing
+    leaves. Full windows have odd numbers, the others even ones. Repeated rows are packed like any
+    others; an empty table gives an empty result; columns named sequence_id or offset are replaced.
     """
     ready(pieces.sparkSession)
     pieces = materialize(pieces.drop("sequence_id", "offset").withColumn("_tg_row", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, -(-pieces.where(F.col(length) < capacity).count() // group))
-    light = pieces.select("_tg_row", F.col(length).alias("_tg_length"), F.pmod(F.xxhash64("_tg_row"), F.lit(groups)).alias("_tg_group"))
+    full, rest = pieces.where(F.col(length) >= capacity), pieces.where(F.col(length) < capacity)
+    groups = max(1, -(-rest.count() // group))
+    light = rest.select("_tg_row", F.col(length).alias("_tg_length"), F.pmod(F.xxhash64("_tg_row"), F.lit(groups)).alias("_tg_group"))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_tg_length", "_tg_row"], ascending=[False, True])
         sizes = pdf["_tg_length"].to_numpy()
-        full = int((sizes >= capacity).sum())
-        window = np.arange(len(sizes))
-        if full < len(sizes):
-            window[full:] = balanced(sizes[full:], capacity) + full
-        _, window = np.unique(window, return_inverse=True)
+        _, window = np.unique(balanced(sizes, capacity), return_inverse=True)
         before = pd.Series(sizes).groupby(window).cumsum().to_numpy() - sizes
-        return pd.DataFrame({"_tg_row": pdf["_tg_row"].to_numpy(), "sequence_id": pdf["_tg_group"].to_numpy() * (1 << 24) + window, "offset": before})
+        return pd.DataFrame({"_tg_row": pdf["_tg_row"].to_numpy(), "sequence_id": 2 * (pdf["_tg_group"].to_numpy() * (1 << 24) + window), "offset": before})
 
     seats = light.groupBy("_tg_group").applyInPandas(place, "_tg_row long, sequence_id long, offset long")
-    return pieces.join(seats, "_tg_row").drop("_tg_row")
+    whole = full.withColumns({"sequence_id": 2 * F.col("_tg_row") + 1, "offset": F.lit(0).cast("long")})
+    return rest.join(seats, "_tg_row").unionByName(whole).drop("_tg_row")
 
 
 def op8_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,8 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 5, sc
     to the blocks: a row can only reach it if one of its partial scores is at least cutoff / slices, so
     entries under that are dropped. Phase three resolves the exact scores of what is left where the rows
     are, and k of each block at most go on to the final ranking. Partial scores may be negative; the
-    bound holds all the same, as a sum is never above ``slices`` times its largest part.
+    bound holds all the same, as a sum is never above ``slices`` times its largest part. The threshold
+    bounds what leaves a block; the lists themselves are products of all pairs, in either pass.
 
     Queries and rows meet in blocks of ``block`` vectors, each pair of blocks in a task of its own, so
     neither side is ever broadcast or collected. Vectors that are null or hold null or non-finite

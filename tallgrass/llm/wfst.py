@@ -1,4 +1,4 @@
-"""SentencePiece BPE models run as a weighted transducer: shortest path over pieces and byte fallback."""
+"""SentencePiece BPE models by the shortest path of a weighted transducer that is searched, not built: pieces and byte fallback."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from .packing import _spread
 SPACE = "▁"
 _TAIL = ".,!?;:"
 _MOST = 600_000
+_LONG = 64  # characters of a stretch that is kept
 _RUN = 1 << 20
 _BASE = -1
 _loaded: dict[str, Transducer] = {}
@@ -30,18 +31,22 @@ def default_model() -> str:
 
 
 class Transducer:
-    """The composition normaliser * pieces * neighbours, applied to one stretch of text at a time.
+    """The shortest path that the composition normaliser * pieces * neighbours would have, found without building it.
 
-    The normaliser writes U+2581 for a space and puts one before the text. The pieces' transducer has
-    an arc for each piece (weight 0) and, for a character that no piece covers, one arc that writes its
-    bytes (weight 1). A BPE model's ids are no path of least piece scores; they are the one path on which
-    no two neighbours would have been merged otherwise. So the third machine remembers the last piece
-    and has an arc of weight 0 to each piece that may follow it, and of infinite weight to all others.
-    In the tropical semiring the shortest path through the three is that path. Its neighbour arcs are
-    compiled when first asked for, from the pieces' own merges.
+    As a machine: the normaliser writes U+2581 for a space and puts one before the text. The pieces'
+    transducer has an arc for each piece (weight 0) and, for a character that no piece covers, one arc
+    that writes its bytes (weight 1). A BPE model's ids are no path of least piece scores; they are the
+    one path on which no two neighbours would have been merged otherwise. So the third machine remembers
+    the last piece and has an arc of weight 0 to each piece that may follow it, and of infinite weight to
+    all others. In the tropical semiring the shortest path through the three is that path.
+
+    None of the three is compiled into states and arcs, and no composed machine is stored: it would have
+    an arc for each pair of pieces that may touch. The normaliser is a replacement of characters, the
+    pieces' arcs are a dictionary, and the neighbours' arcs are computed from the pieces' own merges when
+    first asked for. ``path`` is the dynamic programme over places in the text that relaxes those arcs.
 
     Only runs of several spaces, whose pieces all have one score, depend on the order of equal merges;
-    stretches with such runs are merged step by step instead.
+    stretches with such runs are merged step by step instead, outside the path search.
     """
 
     def __init__(self, path: str) -> None:
@@ -156,11 +161,11 @@ class Transducer:
         return [x for part in reversed(out) for x in part]
 
     def _ids_of(self, parts: list[str]) -> list[bytes]:
-        known = self.parts
+        known, own = self.parts, {}
         for p in parts:
-            if p not in known:
-                known[p] = np.array(self.path(p), dtype="<u4").tobytes()
-        return [known[p] for p in parts]
+            if p not in known:  # long ones are kept for this batch only, so that what is kept is bounded in bytes too
+                (known if len(p) <= _LONG else own)[p] = np.array(self.path(p), dtype="<u4").tobytes()
+        return [own[p] if p in own else known[p] for p in parts]
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.parts) > _MOST:
