@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from ..scratch import materialize, release, shared_dir
 from ..workers import ready
 
-__all__ = ["WORD", "components", "global_rank", "materialize", "own_columns", "ready", "release", "shared_dir"]
+__all__ = ["WORD", "components", "global_rank", "materialize", "named", "own_columns", "ready", "release", "shared_dir"]
 
 #: Words of the contracts: maximal runs without ASCII white space. bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def named(c: str) -> Column:
+    """The column of that name, whatever signs it holds."""
+    return F.col("`" + c.replace("`", "``") + "`").alias(c)
+
+
 def own_columns(df: DataFrame) -> list[Column]:
-    """The columns of ``df``, whatever signs their names hold."""
-    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
+    return [named(c) for c in df.columns]
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, named
 
 _BLANK = r"^[\x20\x09-\x0D]*$"
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -93,7 +93,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", site: st
     stay = F.array_except(F.sequence(F.lit(0), F.size("_tg_lines") - 1), F.col("_tg_gone"))
     left = F.array_join(F.transform(stay, lambda i: F.get(F.col("_tg_lines"), i)), "\n")
     return joined.select(
-        *[F.when(F.col("_tg_gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in df.columns],
+        *[F.when(F.col("_tg_gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else named(c) for c in df.columns],
         F.when(F.col(text).isNull(), 0).otherwise(F.size("_tg_lines")).cast("long").alias(n_lines),
         F.coalesce(F.size("_tg_gone"), F.lit(0)).cast("long").alias(n_removed),
     )
