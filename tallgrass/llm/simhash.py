@@ -213,15 +213,17 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 def code_pairs(nodes: DataFrame, c: Codes) -> DataFrame:
     """Pairs (u < v) of stored ``nodes`` (node, codes) that ball hashing brings together, those far apart left out.
 
-    Nodes with one code are linked to the smallest of them, by a minimum that is summed map-side, so a
-    code that a third of all nodes have is no one task's group. Each distinct code then emits its ball
-    of radius 1; codes at 2 bits or fewer meet in a variant. A variant holds at most bits + 1 codes, so
+    Nodes with one code are linked to the smallest of them, and to one that the hash of node and code
+    picks, another one in each table; both are minima that are summed map-side, so a code that a third of
+    all nodes have is no one task's group. Each distinct code then emits its ball of radius 1 for the
+    picked node; codes at 2 bits or fewer meet in a variant. A variant holds at most bits + 1 codes, so
     its group is bounded, and it links each to the first and to the one before. Pairs whose codes
     together differ in more than ``most_bits`` are chance meetings and go.
     """
     codes = nodes.select("node", F.explode("codes").alias("code"))
-    reps = materialize(codes.groupBy("code").agg(F.min("node").alias("rep"), F.count("*").alias("many")), "codes")
-    alike = codes.join(reps.where("many > 1").select("code", "rep"), "code").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    reps = materialize(codes.groupBy("code").agg(F.min("node").alias("low"), F.min_by("node", F.xxhash64("node", "code")).alias("rep"), F.count("*").alias("many")), "codes")
+    alike = codes.join(reps.where("many > 1").select("code", F.array_distinct(F.array("low", "rep")).alias("r")), "code").select("node", F.explode("r").alias("r")).where("node <> r")
+    alike = alike.select(F.least("node", "r").alias("u"), F.greatest("node", "r").alias("v"))
     ball = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(c.bits))]])
     met = reps.select("rep", "code", F.explode(ball).alias("x")).select("rep", F.col("code").bitwiseXOR(F.col("x")).alias("variant"))
     place = Window.partitionBy("variant").orderBy("rep")
@@ -265,11 +267,12 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     an empty table stays empty. All columns stay, whatever their names.
     """
     own = F.struct(*own_columns(df)).alias("_tg_own")
-    stored = materialize(df.select(F.monotonically_increasing_id().alias("_tg_row"), own, df[key].alias("_tg_key"), df[text].alias("_tg_text")), "texts")
-    classes, links = similar_links(stored.select("_tg_row", "_tg_text"), "_tg_text", width, percent)
+    stored = materialize(df.select(F.monotonically_increasing_id().alias("_tg_row"), own), "texts")  # each column once
+    part = lambda c, name: F.col("_tg_own").getField(c).alias(name)
+    classes, links = similar_links(stored.select("_tg_row", part(text, "_tg_text")), "_tg_text", width, percent)
     roots = materialize(components(links), "roots")
     rooted = classes.join(roots, "node", "left").select("_tg_row", F.coalesce("root", "node").alias("root"))
-    rooted = rooted.join(stored.select("_tg_row", "_tg_key"), "_tg_row")
+    rooted = rooted.join(stored.select("_tg_row", part(key, "_tg_key")), "_tg_row")
     order = F.struct(F.col("_tg_key").isNull(), F.col("_tg_key"), F.col("_tg_row"))
     rooted = materialize(rooted.select("root", "_tg_row", order.alias("o")), "rooted")
     first = rooted.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o._tg_row").alias("_tg_row"))
