@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import remap_locations, stage2_confidence, succeeded
 from ..functions.text import estimated_tokens, label_number, literal_match, stable_id
-from ..operators import audit, metrics, responses, retrieval, rollup, stages
+from ..operators import audit, metrics, requests, responses, retrieval, rollup, stages
 from ..operators.prepare import prepare
 from ..scratch import materialize
 from ..types import KEY, PAIR_KEY, SUCCEEDED, VERDICTS
@@ -80,6 +80,8 @@ def compare_runs(human: DataFrame, positives: DataFrame, baseline: Run, optimize
         out[f"{name}_issues"] = evaluate_issues(human, run.issues)["binary"]
         out[f"{name}_recall"] = metrics.candidate_recall(positives, pairs, PAIR_KEY)
         out[f"{name}_funnel"] = stages.funnel(run.stage1, run.stage2, run.issues)
+        done = run.stage2.where(succeeded(F.col("request_status"))).groupBy(*PAIR_KEY).agg(F.max("verdict").alias("verdict"))
+        out[f"{name}_pairs"] = metrics.pair_quality(positives.withColumn("human_verdict", F.coalesce("human_verdict", F.lit("yes")) if "human_verdict" in positives.columns else F.lit("yes")), pairs, done, PAIR_KEY)
         sound = out[f"{name}_integrity"].select((F.col("status") == "OK").alias("_ok"))
         null_if = lambda df: df.join(F.broadcast(sound)).select(*[F.when(F.col("_ok"), F.col(c)).alias(c) for c in df.columns])  # noqa: E731, B023
         out[f"{name}_issues"], out[f"{name}_recall"] = null_if(out[f"{name}_issues"]), null_if(out[f"{name}_recall"])
@@ -92,6 +94,8 @@ def compare_runs(human: DataFrame, positives: DataFrame, baseline: Run, optimize
         pairs, yes = F.coalesce(f"{name}_pairs", F.lit(0)) > 0, F.coalesce(f"{name}_has_yes", F.lit(False))
         a = a.withColumns({f"{name}_class": metrics.classification(truth, F.col(name)), f"{name}_origin": metrics.origin(truth, F.col(name), pairs, yes)})
     missed = {n: audit.unmatched(positives, stages.explode_pairs(r.stage1, strict=False), PAIR_KEY) for n, r in sides.items()}
+    for name in sides:
+        out[f"{name}_origins"] = a.where(F.col(f"{name}_class").isin("FP", "FN")).groupBy(f"{name}_class", f"{name}_origin").agg(F.count("*").alias("issues"))
     order = F.array_position(F.array(*map(F.lit, ("FP", "FN", "TP"))), F.col("optimized_class"))
     out |= {"audit": a.orderBy(F.when(order > 0, order).when(F.col("optimized_class") == "TN", 9).otherwise(5), *KEY), "divergences": a.where(~F.col("baseline").eqNullSafe(F.col("optimized"))), "new_misses": missed["optimized"].exceptAll(missed["baseline"])}
     saved = F.lit(None).cast("double") if baseline.total_tokens is None or optimized.total_tokens is None else F.lit(float(baseline.total_tokens - optimized.total_tokens))
@@ -125,9 +129,11 @@ def retrieval_benchmark(scored: DataFrame, gold: DataFrame, names: Sequence[str]
     recall = due.where("pattern is not null").groupingSets([["config"], ["config", "pattern"], ["config", "family"]], "config", "pattern", "family").agg(F.count("*").alias("positives"), F.count_if(hit).alias("hits"), F.bool_and(hit).alias("complete"))
     per_issue = due.groupBy("config", *KEY).agg(F.count_if(F.col("pattern").isNotNull() & ~hit).alias("misses"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("fallback_used").alias("fell"))
     totals = per_issue.groupBy("config").agg(F.sum("misses").alias("misses"), F.avg("size").alias("mean_shortlist"), F.sum("tokens").alias("tokens"), F.avg(F.col("fell").cast("int")).alias("fallback_rate"))
+    placed = F.get(F.col("reasons"), (F.array_position("candidates", F.col("pattern")) - 1).cast("int"))
+    mechanisms = metrics.recovery(due.where("pattern is not null").select("config", F.when(hit, placed).alias("reasons")), ["config"])
     why = rows.select("config", F.explode("fallback_reasons").alias("reason")).groupBy("config", "reason").agg(F.count("*").alias("issues"))
     folds = per_issue.withColumn("fold", F.concat_ws("#", *KEY)).where(F.col("misses").isNotNull())
-    return {"recall": recall.withColumn("recall", metrics.ratio(F.col("hits"), F.col("positives"))), "totals": totals, "fallbacks": why, "leave_one_out": metrics.leave_one_out(folds, "fold", "config", "misses", "size", "tokens"), "recommended": metrics.recommend(totals, F.col("misses") == 0, F.col("fallback_rate") > 0, "mean_shortlist", "tokens", "config")}
+    return {"recall": recall.withColumn("recall", metrics.ratio(F.col("hits"), F.col("positives"))), "totals": totals, "mechanisms": mechanisms, "fallbacks": why, "leave_one_out": metrics.leave_one_out(folds, "fold", "config", "misses", "size", "tokens"), "recommended": metrics.recommend(totals, F.col("misses") == 0, F.col("fallback_rate") > 0, "mean_shortlist", "tokens", "config")}
 
 
 #: A source of responses: takes requests (custom_id and what they need), returns (custom_id, pos, response).
@@ -139,10 +145,32 @@ def replay(table: DataFrame) -> ResponseSource:
     return lambda requests: table.join(requests.select("custom_id"), "custom_id", "left_semi")
 
 
-def run(issues: DataFrame, patterns: Sequence[str], stage1_source: ResponseSource, stage2_source: ResponseSource, done1: DataFrame | None = None, done2: DataFrame | None = None, max_chars: int = 12_000) -> dict[str, DataFrame]:
+@dataclass(frozen=True)
+class Optimized:
+    """What the optimised profile needs: a catalog with its phrases, families and latent model, and both stages' budgets in tokens."""
+
+    entries: requests.Entries
+    rules: DataFrame
+    model: retrieval.Latent
+    families: Sequence[Sequence[str]] = ()
+    config: retrieval.Config = retrieval.Config()
+    stage1_tokens: int = 3_000
+    stage2_tokens: int = 2_000
+
+
+def run(issues: DataFrame, patterns: Sequence[str], stage1_source: ResponseSource, stage2_source: ResponseSource, done1: DataFrame | None = None, done2: DataFrame | None = None, max_chars: int = 12_000, optimized: Optimized | None = None) -> dict[str, DataFrame]:
     """The two-stage pipeline. What earlier runs finished isn't asked again; each stage's results are stored
-    before they are used, as asking twice may give other answers."""
-    prepared = prepare(issues, max_chars)
+    before they are used, as asking twice may give other answers.
+
+    With ``optimized`` requests carry the passages that retrieval over the whole source chose, stage 1 the
+    shortlist as ``candidates``; stage 2 keeps the evidence that stage 1 gave. A request whose context can't
+    be built is answered like one without a response.
+    """
+    if optimized:
+        o = optimized
+        prepared = materialize(requests.prepare_optimized(issues, o.entries, o.rules, o.families, o.model, o.config, o.stage1_tokens, max_chars), "prepared")
+    else:
+        prepared = prepare(issues, max_chars)
     todo = stages.pending(prepared, done1, KEY) if done1 is not None else prepared
     answered = stages.match_responses(todo, stage1_source(todo))
     first = responses.to_rows(_or_error(responses.normalize_stage1(answered.drop("error", "request_status").withColumn("_lost", F.col("response").isNull()), "response", patterns)))
@@ -153,8 +181,13 @@ def run(issues: DataFrame, patterns: Sequence[str], stage1_source: ResponseSourc
     stage1 = materialize(stages.upsert(done1, first, KEY) if done1 is not None else first, "stage1")
     pairs = stages.explode_pairs(stage1)
     due = stages.pending(pairs, done2) if done2 is not None else pairs
-    requests = due.join(prepared.select(*KEY, "artifact_text", "artifact_type"), list(KEY)).withColumn("custom_id", stable_id("s2", F.col("repository"), F.col("issue_number"), F.col("pattern")))
-    answered = stages.match_responses(requests, stage2_source(requests))
+    if optimized:
+        asked = requests.stage2_contexts(due, prepared.select(*KEY, "artifact_type", "source_sections"), stage1, optimized.entries, optimized.stage2_tokens)
+        asked = materialize(asked.select(*due.columns, "artifact_text", "artifact_type"), "contexts")
+    else:
+        asked = due.join(prepared.select(*KEY, "artifact_text", "artifact_type"), list(KEY))
+    asked = asked.withColumn("custom_id", stable_id("s2", F.col("repository"), F.col("issue_number"), F.col("pattern")))
+    answered = stages.match_responses(asked, stage2_source(asked))
     second = responses.to_rows(_or_error(responses.normalize_stage2(answered.drop("error", "request_status").withColumn("_lost", F.col("response").isNull()), "response", patterns)))
     v = F.col("value")
     confidence = stage2_confidence(v["verdict"], v["evidence_text"], v["false_friend_detected"], v["adoption_status"], v["mechanism_match"], v["scope_match"], v["focus_match"])
