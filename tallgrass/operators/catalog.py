@@ -44,6 +44,7 @@ def compact(catalog: DataFrame, resource: DataFrame, families: Sequence[Sequence
     list; its definition is used only while the full description is the one it was written for.
     """
     spark, aliases = catalog.sparkSession, aliases or {}
+    require_bounded(resource, 5_000, "the curated list")
     digest = F.sha2("description", 256)
     out = catalog.join(F.broadcast(resource.select("pattern", F.col("pattern_id").alias("_id"), F.col("short_definition").alias("_short"), F.col("source_description_sha256").alias("_digest"))), "pattern", "left")
     members = spark.createDataFrame([(n, f"F{i:02}") for i, g in enumerate(families) for n in g], "pattern string, family string")

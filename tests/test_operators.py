@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallgrass.operators import audit, catalog, ledger, metrics, prepare, responses, retrieval, rollup, spans, stages, vocab
+from tallgrass.operators import audit, catalog, ledger, metrics, prepare, requests, responses, retrieval, rollup, spans, stages, vocab
 from tallgrass.plans import composites
 from tallgrass.sources import files, sinks
 from tallgrass.streaming import ledger as stream
@@ -355,6 +355,104 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_streamed_results_are_the_latest(spark, tmp_path):
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    schema = "repository string, issue_number string, at long, v string"
+    put = lambda rows_: spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").json(source)
+    go = lambda: stream.upsert_stream(spark.readStream.schema(schema).json(source), out, ["repository", "issue_number"], str(tmp_path / "state"), order="at", parts=4).awaitTermination()
+    put([("r", "1", 1, "old"), ("r", "1", 3, "new"), ("r", "2", 1, "x")])
+    go()
+    put([("r", "1", 2, "late"), ("r", "3", 1, "y")])
+    go()
+    assert sorted((r["issue_number"], r["v"]) for r in spark.read.parquet(out).collect()) == [("1", "new"), ("2", "x"), ("3", "y")]
+
+
+def catalog_of_three(spark):
+    return spark.createDataFrame([
+        ("Guard", "X1", "a guard checks callers before entry of a function", "Security", "Access", "a guard checks callers before entry of a function"),
+        ("Oracle", "X2", "an oracle reports outside data such as prices", "Data", "Feeds", "an oracle reports outside data such as prices"),
+        ("Proxy", "X3", "a proxy forwards calls so that code can be upgraded", "Structure", "", "a proxy forwards calls so that code can be upgraded"),
+    ], "pattern string, pattern_id string, short_definition string, category string, subcategory string, description string")
+
+
+def test_requests_and_contexts(spark):
+    frame = catalog_of_three(spark)
+    entries = requests.Entries.of(frame)
+    rules = frame.select("pattern", F.col("pattern").alias("phrase"), F.lit(True).alias("direct"))
+    model = retrieval.fit_latent(frame, "pattern", "short_definition")
+    filler = "\n".join(f"line {i} says little of any use to a reader" for i in range(200))
+    told = "The oracle reports prices late."
+    issues = spark.createDataFrame([("r", "1", "Prices", filler + "\n" + told + "\n" + filler, "no comment", "issue"), ("r", "2", "Nothing", "", "", "issue")], "repository string, issue_number string, issue_title string, issue_body string, concatenated_comments string, type string")
+    out = {r["issue_number"]: r for r in requests.prepare_optimized(issues, entries, rules, [["Guard", "Proxy"]], model, retrieval.Config(fall_back_to_all=False, minimum=1, maximum=1), tokens=500).collect()}
+    assert "Oracle" in out["1"]["candidates"] and told in out["1"]["artifact_text"] and len(out["1"]["artifact_text"]) <= 2000 and out["1"]["input_truncated"] and out["1"]["context_error"] is None
+    assert not out["2"]["input_truncated"] and "context_omitted" not in out["2"]["artifact_text"]
+    tight = requests.prepare_optimized(issues, entries, rules, [], model, tokens=60).collect()
+    assert all(r["context_error"] and r["artifact_text"] is None for r in tight)
+    prepared = requests.prepare_optimized(issues, entries, rules, [], model, tokens=500)
+    first = requests.stage1_requests(prepared.where("issue_number = '1'"), entries, "Be strict.", {"type": "object"}).first()
+    assert first["prompt"].startswith('Be strict.\n{"type":"object"}\nCATALOG:\nX1 Guard: a guard') and first["prompt"].endswith(first["artifact_text"])
+    stage1 = spark.createDataFrame([("r", "1", "succeeded", json.dumps([{"pattern": "Proxy", "evidence_text": "line 7 says little of any use"}]))], "repository string, issue_number string, request_status string, candidate_details string")
+    assert rows(requests.evidence_of(stage1)) == [("r", "1", "Proxy", "line 7 says little of any use")]
+    pairs = spark.createDataFrame([("r", "1", "Proxy")], "repository string, issue_number string, pattern string")
+    context = requests.stage2_contexts(pairs, prepared, stage1, entries, 300)
+    assert "line 7 says little of any use" in context.first()["artifact_text"]
+    second = requests.stage2_requests(context, frame, entries, "Decide.", {}).first()
+    assert "CANDIDATE: Proxy\nStructure" in second["contents"] and second["prompt"].startswith("Decide.\n{}\n")
+    with pytest.raises(ValueError, match="other entries"):
+        requests.prepare_optimized(issues, requests.Entries(("A",), ("X",), ("d",)), rules, [], model)
+
+
+def test_optimized_run(spark):
+    frame = catalog_of_three(spark)
+    profile = composites.Optimized(requests.Entries.of(frame), frame.select("pattern", F.col("pattern").alias("phrase"), F.lit(True).alias("direct")), retrieval.fit_latent(frame, "pattern", "short_definition"))
+    issues = spark.createDataFrame([("r", "1", "t1", "the body speaks of an oracle that reports", "", "pull_request"), ("r", "2", "t2", "nothing", "", "issue")], "repository string, issue_number string, issue_title string, issue_body string, concatenated_comments string, type string")
+    seen: list = []
+
+    def first(asked):
+        seen.append({r["issue_number"]: r["candidates"] for r in asked.select("issue_number", "candidates").collect()})
+        return asked.select("custom_id", F.lit(0).alias("pos"), F.lit(json.dumps(S1)).alias("response"))
+
+    def second(asked):
+        seen.append([r["artifact_text"] for r in asked.collect()])
+        return asked.select("custom_id", F.lit(0).alias("pos"), F.lit(json.dumps(S2 | {"evidence_text": "oracle that reports"})).alias("response"))
+
+    out = composites.run(issues.where("issue_number = '1'"), PATTERNS, first, second, optimized=profile)
+    assert "Oracle" in seen[0]["1"] and all(t.startswith("<artifact_type>pull_request") for t in seen[1])
+    assert out["issues"].first()["relevant_to_pattern_study"] == "yes"
+
+
+def test_wire_and_outcomes(spark):
+    ids = {"Guard": "X1", "Oracle": "X2"}
+    value = spark.createDataFrame([(json.dumps({"issue_summary": "s", "issue_activity_type": "other", "issue_challenge_categories": [], "context_status": "sufficient", "candidates": [{"pattern": p, "evidence_text": "e", "evidence_location": "body", "rationale": "r", "confidence": "high"}]}),) for p in ("Guard", "Oracle", "Other")], "j string").coalesce(1)
+    from tallgrass.types import STAGE1_PAYLOAD
+
+    wire = value.select(responses.encode_wire(F.from_json("j", STAGE1_PAYLOAD), 1, ids).alias("w"))
+    assert '"p":"X1"' in wire.first()["w"] and set(json.loads(wire.first()["w"])) == set("sthxc")
+    text, error = responses.decode_wire(F.col("w"), 1, ids, F.array(F.lit("Guard")))
+    got = wire.select(text.alias("t"), error.alias("e")).collect()
+    assert [r["e"] for r in got] == [None, "pattern outside the shortlist", "pattern unknown"] and json.loads(got[0]["t"])["candidates"][0]["pattern"] == "Guard"
+    assert "p=pattern" in responses.wire_legend(1) and responses.wire_legend(2).startswith("Keys: v=verdict")
+    short = responses.wire_schema({"properties": {"verdict": {"type": "string"}}, "required": ["verdict"]}, 2)
+    assert short == {"properties": {"v": {"type": "string"}}, "required": ["v"]}
+    answers = [None, "oops", '{"choices":[]}', '{"choices":[{"message":{"content":"x"},"finish_reason":"length"}]}', '{"choices":[{"message":{"content":" x "}}],"usage":{"prompt_tokens":3},"timings":{"prompt_per_second":2.5}}']
+    told = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string").coalesce(1).select("i", responses.outcome(F.col("a")).alias("o")).orderBy("i").collect()
+    assert [r["o"]["error"] for r in told] == ["no answer", "no answer", "no choices", "finish is not STOP", None]
+    assert (told[4]["o"]["text"], told[4]["o"]["input_tokens"], told[4]["o"]["prompt_tokens_per_second"]) == ("x", 3, 2.5)
+
+
+def test_sources_of_answers_run_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def ask(x):
+        calls.add(1)
+        return x
+
+    asked = spark.createDataFrame([("a", 0), ("b", 1)], "custom_id string, pos int")
+    out = stages.match_responses(asked, asked.select("custom_id", "pos", ask("custom_id").alias("response")))
+    assert out.count() == 2 and out.where("response = custom_id").count() == 2 and calls.value == 2
+
+
 def test_run_and_compare(spark):
     issues = spark.createDataFrame([("r", "1", "t1", "the body speaks of an oracle that reports", "", "pull_request"), ("r", "2", "t2", "nothing", "", "issue")], "repository string, issue_number string, issue_title string, issue_body string, concatenated_comments string, type string")
     asked: list[int] = []
