@@ -17,10 +17,9 @@ from .common import materialize, ready
 
 #: No word holds white space, so this can't be one.
 END = " "
-_CHUNK = 2_000_000  # tokens that share a local vocabulary
-_WAVE = 4_000_000  # tokens that are held to be sorted by length
-_STEP = 500_000  # tokens of one padded batch
-_BLOCK = 2_048  # steps whose forward vectors are held at once
+_CHUNK = 3_000_000  # tokens that share a local vocabulary and are stepped through together
+_STEP = 500_000  # symbols whose forward vectors are held at once
+_BLOCK = 16_384  # and their steps
 
 
 @dataclass(frozen=True)
@@ -85,7 +84,7 @@ def _local(path_chunks: Iterator[pd.DataFrame], folds: int, held: int) -> Iterat
 
 
 def localise(df: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
-    """The corpus as numbers: one pass over the texts, stored; a chunk has some two million tokens or one longer text."""
+    """The corpus as numbers: one pass over the texts, stored; a chunk has some three million tokens or one longer text."""
     spark = df.sparkSession
     ready(spark)
     kind = dict(df.dtypes)[key]
@@ -223,48 +222,29 @@ def initial(corpus: Corpus, s: Settings) -> Trained:
     return Trained(Model(np.full(s.states, 1 / s.states), _normal(move), emit), words)
 
 
-def _batches(sequences: Iterator[tuple[object, bytes]]) -> Iterator[list[tuple[object, np.ndarray]]]:
-    """Sequences of like length together, longest first, some million tokens at once."""
-    def sorted_out(held: list) -> Iterator[list]:
-        held.sort(key=lambda x: -len(x[1]))
-        batch: list = []
-        for x in held:
-            if batch and (len(batch) + 1) * len(batch[0][1]) > _STEP:
-                yield batch
-                batch = []
-            batch.append(x)
-        if batch:
-            yield batch
-
-    held, size = [], 0
-    for tag, raw in sequences:
-        seq = _whole(raw)
-        held.append((tag, seq))
-        size += len(seq)
-        if size >= _WAVE:
-            yield from sorted_out(held)
-            held, size = [], 0
-    yield from sorted_out(held)
-
-
 class _Steps:
-    """The symbols at each step, of the sequences (longest first) that reach it."""
+    """Sequences (longest first) by time: at each step the symbols of those that reach it, in a row."""
 
     def __init__(self, seqs: list[np.ndarray]) -> None:
         lengths = np.array([len(x) for x in seqs])
-        padded = np.zeros((int(lengths[0]), len(seqs)), dtype=np.int32)
+        alive = len(seqs) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), side="right")
+        self.at = np.append(0, np.cumsum(alive))
+        self.flat = np.empty(int(self.at[-1]), dtype=np.int32)
         for i, seq in enumerate(seqs):
-            padded[: len(seq), i] = seq
-        self.padded, self.lengths = padded, lengths[::-1]
+            self.flat[self.at[: len(seq)] + i] = seq
 
-    def __len__(self) -> int:
-        return len(self.padded)
+    def blocks(self) -> list[tuple[int, int]]:
+        """First and last step of runs of at most _BLOCK steps and some _STEP symbols."""
+        out, first, steps = [], 0, len(self.at) - 1
+        while first < steps:
+            last = int(np.searchsorted(self.at, self.at[first] + _STEP, side="right")) - 1
+            out.append((first, min(max(last, first + 1), first + _BLOCK, steps)))
+            first = out[-1][1]
+        return out
 
-    def block(self, first: int) -> list[np.ndarray]:
-        """The steps from ``first`` on, up to _BLOCK of them."""
-        rows = self.padded[first : first + _BLOCK]
-        alive = self.padded.shape[1] - np.searchsorted(self.lengths, np.arange(first, first + len(rows)), side="right")
-        return [x[:n] for x, n in zip(rows, alive.tolist(), strict=True)]
+    def block(self, first: int, last: int) -> list[np.ndarray]:
+        cuts = self.at[first : last + 1].tolist()
+        return [self.flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _advance(m: Model, emit: np.ndarray, alpha: np.ndarray | None, block: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -281,8 +261,8 @@ def forward(m: Model, seqs: list[np.ndarray]) -> np.ndarray:
     """log10 likelihood of each sequence (longest first), by scaled forward recursion over all at once."""
     steps, logs, alpha = _Steps(seqs), np.zeros(len(seqs)), None
     emit = np.ascontiguousarray(m.emit.T)
-    for first in range(0, len(steps), _BLOCK):
-        for alpha, scale in _advance(m, emit, alpha, steps.block(first)):
+    for run in steps.blocks():
+        for alpha, scale in _advance(m, emit, alpha, steps.block(*run)):
             logs[: len(scale)] += np.log10(scale)
     return logs
 
@@ -290,20 +270,21 @@ def forward(m: Model, seqs: list[np.ndarray]) -> np.ndarray:
 def expectations(m: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions of the sequences, and their log10 likelihood.
 
-    The forward vectors of one block of steps are held at a time, and one vector before each block, from
+    All sequences step together. The forward vectors of one block of steps are held at a time, and one vector before each block, from
     which the others' are computed again on the way back: memory is that of a block at any length.
     """
     emit, back = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
     steps, log, alpha, marks, held = _Steps(seqs), 0.0, None, [], []
-    for first in range(0, len(steps), _BLOCK):
+    runs = steps.blocks()
+    for run in runs:
         marks.append(alpha)
-        held = list(_advance(m, emit, alpha, steps.block(first)))
+        held = list(_advance(m, emit, alpha, steps.block(*run)))
         alpha = held[-1][0]
         log += float(sum(np.log10(scale).sum() for _, scale in held))
     moves, emits = np.zeros_like(m.move), np.zeros_like(m.emit)
     beta = np.ones_like(alpha)
     for b in range(len(marks) - 1, -1, -1):
-        block = steps.block(b * _BLOCK)
+        block = steps.block(*runs[b])
         held = held or list(_advance(m, emit, marks[b], block))
         for t in range(len(block) - 1, -1, -1):
             alpha, scale = held[t]
@@ -339,10 +320,7 @@ def baum_welch(corpus: Corpus, t: Trained, floor: float = 1e-2) -> tuple[Trained
         if not len(left):
             return pd.DataFrame({"state": [], "cell": [], "value": [], "word": [], "w": []})
         m = _on_chunk(core, right)
-        starts, moves, emits, log = np.zeros(k), np.zeros_like(m.move), np.zeros_like(m.emit), 0.0
-        for batch in _batches((None, raw) for raw in left["seq"]):
-            a, b, c, d = expectations(m, [x for _, x in batch])
-            starts, moves, emits, log = starts + a, moves + b, emits + c, log + d
+        starts, moves, emits, log = expectations(m, sorted(map(_whole, left["seq"]), key=len, reverse=True))
         cells = np.concatenate([starts[:, None], moves, emits[:, :classes]], axis=1)
         state, cell = np.nonzero(cells)
         sums = pd.DataFrame({"state": np.append(state, -1), "cell": np.append(cell, 0), "value": np.append(cells[state, cell], log), "word": None, "w": None})
@@ -380,9 +358,10 @@ def score_hmm(df: DataFrame, key: str = "doc_id", text: str = "text", settings:
 
 def _scores(corpus: Corpus, t: Trained, key: str) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        m, log = _on_chunk(core, right), np.zeros(len(left))
-        for batch in _batches(zip(range(len(left)), left["seq"], strict=True)):
-            log[[i for i, _ in batch]] = forward(m, [x for _, x in batch])
+        m, log, seqs = _on_chunk(core, right), np.zeros(len(left)), [_whole(x) for x in left["seq"]]
+        order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
+        if order:
+            log[order] = forward(m, [seqs[i] for i in order])
         return left[names].assign(hmm=log)
 
     core, names = t.core, ["key", "held_out", "n_tokens", "n_known", "base_score", "tail"]
