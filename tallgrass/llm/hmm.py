@@ -24,12 +24,14 @@ _BLOCK = 16_384  # and their steps
 
 @dataclass(frozen=True)
 class Settings:
-    """states: latent states. least: words that occur as often in the training documents are symbols of
-    their own, so their number grows with the corpus. classes: symbols that the rarer words share.
+    """states: latent states. least, frequent: words that occur ``least`` times in the training documents, or
+    that are 1/frequent of their tokens, are symbols of their own; beyond least * frequent tokens the first
+    bound is the lower one, and their number grows with the corpus. classes: symbols that the rarer words share.
     rounds: passes of Baum-Welch. folds, held: a document is held out if crc32(key as text) mod folds is held."""
 
     states: int = 6
-    least: int = 64
+    least: int = 1024
+    frequent: int = 4096
     classes: int = 256
     rounds: int = 4
     folds: int = 5
@@ -131,7 +133,7 @@ def prepare(df: DataFrame, key: str, text: str, s: Settings) -> Corpus:
     counts = materialize(vocab.groupBy("word").agg(F.sum("count").alias("c")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n, v = int(total["n"]), int(total["v"] or 0)
-    rare = F.col("c") < s.least
+    rare = F.col("c") < max(1, min(s.least, -(-n // s.frequent)))
     mass, kinds = np.zeros(s.classes), np.zeros(s.classes)
     for r in counts.where(rare).groupBy(ending_class(s.classes).alias("class")).agg(F.sum("c").alias("m"), F.sum((F.col("c") > 0).cast("long")).alias("k")).collect():
         mass[r["class"]], kinds[r["class"]] = r["m"], r["k"]

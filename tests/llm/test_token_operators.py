@@ -161,7 +161,7 @@ def test_blocks_change_nothing(monkeypatch):
 
 
 def test_baum_welch_never_loses_likelihood(spark, documents):
-    s = hmm.Settings(states=3, rounds=4, classes=32, least=20)
+    s = hmm.Settings(states=3, rounds=4, classes=32, least=20, frequent=1)
     corpus = hmm.prepare(documents.select("doc_id", "text"), "doc_id", "text", s)
     model, seen = hmm.initial(corpus, s), []
     for _ in range(4):
@@ -199,7 +199,7 @@ def log_space_scores(rows, s, spark_model, spark_words):
 
 
 def test_scores_by_an_independent_forward(spark, documents, document_rows):
-    s = hmm.Settings(states=3, rounds=2, classes=16, least=15)
+    s = hmm.Settings(states=3, rounds=2, classes=16, least=15, frequent=1)
     corpus = hmm.prepare(documents.select("doc_id", "text"), "doc_id", "text", s)
     model = hmm.initial(corpus, s)
     for _ in range(2):
@@ -212,7 +212,7 @@ def test_scores_by_an_independent_forward(spark, documents, document_rows):
 
 
 def test_language_model(spark, documents, document_rows, no_documents):
-    got = hmm.score_hmm(documents.withColumn("score", F.lit(1)), settings=hmm.Settings(rounds=6, least=20)).toPandas()
+    got = hmm.score_hmm(documents.withColumn("score", F.lit(1)), settings=hmm.Settings(rounds=6, least=20, frequent=1)).toPandas()
     tokens = lambda t: (t or "").encode().lower().split() + [b" "]
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 1
     c = Counter(w for r in document_rows if not held(r[0]) for w in tokens(r[1]))
@@ -230,7 +230,7 @@ def test_language_model(spark, documents, document_rows, no_documents):
 
 def test_word_shares_sum_to_at_most_one(spark, documents):
     """P(word) over all known words and one unseen per class, given any state mixture, is at most one."""
-    s = hmm.Settings(states=2, least=30, classes=4)
+    s = hmm.Settings(states=2, least=30, frequent=1, classes=4)
     corpus = hmm.prepare(documents.select("doc_id", "text"), "doc_id", "text", s)
     tails = corpus.docs.select("tail").collect()
     assert len(corpus.weights) == 4 and corpus.words.where("c < 30").count() == 0 and all(r["tail"] <= 1e-12 for r in tails)
