@@ -75,9 +75,10 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 5, sc
     bound holds all the same, as a sum is never above ``slices`` times its largest part. The threshold
     bounds what leaves a block; the lists themselves are products of all pairs, in either pass.
 
-    Queries and rows meet in blocks of ``block`` vectors, each pair of blocks in a task of its own, so
-    neither side is ever broadcast or collected. Vectors that are null or hold null or non-finite
-    components take no part; vectors of different lengths aren't compared. A null key is no query, and
+    Queries and rows meet in blocks of ``block`` vectors. Each task pairs one run of stored row blocks
+    with one of stored query blocks, which it reads itself, and sums up what it finds by query: blocks
+    are neither broadcast nor collected, whatever their stored size makes of the plan. Vectors that
+    are null or hold null or non-finite components take no part; vectors of different lengths aren't compared. A null key is no query, and
     never a candidate. Rows that share a key are candidates each, but none of their own key's query;
     a query key on several different rows asks with each. Ties go to the smaller key; scores beyond a
     long stay at its ends. An empty table gives an empty result.
@@ -87,42 +88,42 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 5, sc
     ids = df.select(F.col(key).cast("long").alias("id"), scaled(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("id is not null and v is not null")
     rows = materialize(ids, "vectors")
     asked = rows.where("asks").select("id", "v").distinct()
-    n, m = rows.count(), asked.count()
-    query_blocks, salts = max(1, -(-m // block)), max(1, -(-n // (8 * block)))
+    query_blocks = max(1, -(-asked.count() // block))
     queries = _blocks(asked.repartition(query_blocks), block)
     queries = materialize(queries.select(F.monotonically_increasing_id().alias("qb"), F.col("dims").alias("qdims"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors")), "queries")
-    corpus = materialize(_blocks(rows.select("id", "v"), block).withColumn("cb", F.monotonically_increasing_id()), "blocks")
-    spread = corpus.withColumn("salt", F.pmod(F.xxhash64("cb"), F.lit(salts)).cast("int"))
-    dealt = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = dealt.join(spread, (F.col("qdims") == F.col("dims")) & (dealt["salt"] == spread["salt"])).drop("salt")
+    corpus = materialize(_blocks(rows.select("id", "v"), block), "blocks")
+
+    def met(asking: DataFrame) -> DataFrame:
+        return corpus.join(asking.hint("shuffle_replicate_nl"), F.col("qdims") == F.col("dims"))
 
     def parts(dims: int) -> list[slice]:
         edges = np.linspace(0, dims, min(slices, max(dims, 1)) + 1).astype(int)
         return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[tuple[int, int], list[int]] = {}
         for pdf in batches:
             for r in pdf.itertuples():
                 q, c = _matrix(r.qvectors, r.qids, r.dims), _matrix(r.vectors, r.ids, r.dims)
                 qi, ci = np.frombuffer(r.qids, dtype="<i8"), np.frombuffer(r.ids, dtype="<i8")
-                out = []
-                cuts = parts(r.dims)
-                lists = [q[:, p] @ c[:, p].T for p in cuts]
+                lists = [q[:, p] @ c[:, p].T for p in parts(r.dims)]
                 for i in range(len(q)):
                     other = np.flatnonzero(ci != qi[i])
                     if not len(other):
                         continue
                     found = np.unique(np.concatenate([other[np.argpartition(-x[i, other], min(k, len(other)) - 1)[:k]] for x in lists]))
-                    for s in np.sort(exact_scores(q[i : i + 1], c[found])[0])[::-1][:k].tolist():
-                        out.append((r.qb, i, s))
-                yield pd.DataFrame(out, columns=["qb", "q", "score"])
+                    scores = exact_scores(q[i : i + 1], c[found])[0].tolist()
+                    best[r.qb, i] = sorted(best.get((r.qb, i), []) + scores, reverse=True)[:k]
+        found = [(qb, i, s) for (qb, i), scores in best.items() for s in scores]
+        for a in range(0, len(found), 1 << 16):
+            yield pd.DataFrame(found[a : a + (1 << 16)], columns=["qb", "q", "score"])
 
-    first = pairs.mapInPandas(gather, "qb long, q int, score long")
+    first = met(queries).mapInPandas(gather, "qb long, q int, score long")
     at = Window.partitionBy("qb", "q").orderBy(F.desc("score"))
     cutoffs = first.withColumn("place", F.row_number().over(at)).where(F.col("place") <= k).groupBy("qb", "q").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_LOW)).alias("cutoff"))
     cutoffs = cutoffs.groupBy("qb").agg(F.array_sort(F.collect_list(F.struct("q", "cutoff"))).alias("cutoffs"))
-    sent = materialize(queries.join(cutoffs, "qb"), "cutoffs").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    again = sent.join(spread, (F.col("qdims") == F.col("dims")) & (sent["salt"] == spread["salt"])).drop("salt")
+    sent = materialize(queries.hint("merge").join(cutoffs, "qb").repartition(query_blocks), "cutoffs")  # a block a file, as tasks hold what they read of these
+    again = met(sent)
     again = again.withColumns({"at": F.transform("cutoffs", lambda x: x["q"]), "least": F.transform("cutoffs", lambda x: x["cutoff"])}).drop("cutoffs")
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

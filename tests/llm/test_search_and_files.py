@@ -47,6 +47,23 @@ def test_topk_edges(spark):
     assert two.count() == 0
 
 
+def test_topk_broadcasts_no_blocks(spark, monkeypatch):
+    """Stored blocks are far larger than their files say; a plan that broadcasts them fills the driver."""
+    plans, real = [], topk.materialize
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(topk, "materialize", spy)
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(200)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), "vec_id", "embedding", F.col("vec_id") % 5 == 0, block=4)
+    assert sorted(map(tuple, got.collect())) == brute_topk(rows, 5, 5)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "Broadcast" in p and "vectors" in p] and sum("CartesianProduct" in p for p in plans) == 2
+
+
 def test_exact_scores_beyond_doubles():
     q, c = np.array([[2.0**30, 1.0]]), np.array([[2.0**30, 1.0], [1.0, 0.0]])
     assert topk.exact_scores(q, c).tolist() == [[2**60 + 1, 2**30]]
