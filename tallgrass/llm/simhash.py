@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, own_columns, ready
@@ -138,8 +138,8 @@ class Codes:
 
         A variant should hold other texts by chance in few cases only, so codes get 10 bits more than
         the rows need to be numbered. Two sets at ``percent`` meet in a table if their codes differ in 2
-        bits at most; there are enough tables that all but 1 - ``recall`` of such pairs meet in one.
-        More similar pairs meet more surely.
+        bits at most; there are enough tables that all but 1 - ``recall`` of such pairs are that near in one.
+        More similar pairs are so more surely.
         """
         bits = min(56, max(28, math.ceil(math.log2(max(rows, 2))) + 10))
         p = Codes.differing(percent)
@@ -205,57 +205,134 @@ def _sets(width: int):
     return F.pandas_udf(run, "array<bigint>")
 
 
+def rare_first(x: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The hashes of a set in an order that is the same in all sets: by hash, the ``common`` (sorted) ones last, by ``place``."""
+    if not len(common):
+        return x
+    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+    hit = common[at] == x
+    return np.concatenate([x[~hit], x[hit][np.argsort(place[at[hit]], kind="stable")]])
+
+
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """Longs whose bits are set where a hash of the set ends in the bit's number; a power of two of bits, 1,024 and the set's size at least."""
+    bits = max(1024, 1 << max(len(x) - 1, 0).bit_length())
+    out = np.zeros(bits, dtype=np.uint8)
+    out[x & (bits - 1)] = 1
+    return np.packbits(out).view(np.int64)
+
+
+def _prefixes(width: int, percent: int, common: np.ndarray, place: np.ndarray):
+    """Per text: ``n``, the size of its set, its ``bits``, and ``x``, its first hashes, one of which any set at ``percent`` has too."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingles(t, width) for t in texts]
+            firsts = [rare_first(x, common, place)[: len(x) - -(-percent * len(x) // 100) + 1] for x in sets]
+            yield pd.DataFrame({"n": [len(x) for x in sets], "bits": [bitmap(x) for x in sets], "x": firsts})
+
+    return F.pandas_udf(run, "n int, bits array<bigint>, x array<bigint>")
+
+
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     """A stored table, broadcast if it has few enough rows."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
 def code_pairs(nodes: DataFrame, c: Codes) -> DataFrame:
-    """Pairs (u < v) of stored ``nodes`` (node, codes) that ball hashing brings together, those far apart left out.
+    """Pairs (u < v) of stored ``nodes`` (node, codes) that share a code, linear in the codes, those far apart left out.
 
     Nodes with one code are linked to the smallest of them, and to one that the hash of node and code
     picks, another one in each table; both are minima that are summed map-side, so a code that a third of
-    all nodes have is no one task's group. Each distinct code then emits its ball of radius 1 for the
-    picked node; codes at 2 bits or fewer meet in a variant. A variant holds at most bits + 1 codes, so
-    its group is bounded, and it links each to the first and to the one before. Pairs whose codes
-    together differ in more than ``most_bits`` are chance meetings and go.
+    all nodes have is no one task's group. These are no more than the pairs that are cheap to find, which
+    join most of a large group before ``prefix_pairs`` looks for all others. Pairs whose codes together
+    differ in more than ``most_bits`` are chance meetings and go.
     """
     codes = nodes.select("node", F.explode("codes").alias("code"))
-    reps = materialize(codes.groupBy("code").agg(F.min("node").alias("low"), F.min_by("node", F.xxhash64("node", "code")).alias("rep"), F.count("*").alias("many")), "codes")
-    alike = codes.join(reps.where("many > 1").select("code", F.array_distinct(F.array("low", "rep")).alias("r")), "code").select("node", F.explode("r").alias("r")).where("node <> r")
-    alike = alike.select(F.least("node", "r").alias("u"), F.greatest("node", "r").alias("v"))
-    ball = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(c.bits))]])
-    met = reps.select("rep", "code", F.explode(ball).alias("x")).select("rep", F.col("code").bitwiseXOR(F.col("x")).alias("variant"))
-    place = Window.partitionBy("variant").orderBy("rep")
-    linked = met.select("rep", F.first("rep").over(place).alias("first"), F.lag("rep").over(place).alias("before")).where("before < rep")
-    linked = linked.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("u"), F.col("rep").alias("v")).where("u < v")
-    pairs = materialize(alike.unionByName(linked).distinct(), "met")
+    reps = materialize(codes.groupBy("code").agg(F.min("node").alias("low"), F.min_by("node", F.xxhash64("node", "code")).alias("rep"), F.count("*").alias("many")).where("many > 1"), "codes")
+    alike = codes.join(reps.select("code", F.array_distinct(F.array("low", "rep")).alias("r")), "code").select("node", F.explode("r").alias("r")).where("node <> r")
+    pairs = materialize(alike.select(F.least("node", "r").alias("u"), F.greatest("node", "r").alias("v")).distinct(), "met")
     small = _bounded(nodes.select("node", "codes"), 200_000)
     a, b = (small.select(F.col("node").alias(k), F.col("codes").alias(f"c_{k}")) for k in "uv")
     apart = F.aggregate(F.zip_with("c_u", "c_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return pairs.join(a, "u").join(b, "v").where(apart <= c.most_bits).select("u", "v")
 
 
+def _common(texts: DataFrame, width: int, nodes: int, least: int = 4, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) that many sets of a sample of ``texts`` (node, raw) hold, and the place of each by its count.
+
+    The sample is a sixteenth of the sets, and 20,000 or all of them if that is more; at most ``most``
+    hashes are kept. They only order the sets, and any one order finds all pairs: what the sample misses
+    costs time and loses nothing.
+    """
+    share = min(1.0, max(1 / 16, 20_000 / max(nodes, 1)))
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = sample.select(F.explode(_sets(width)("raw")).alias("tok")).groupBy("tok").count().where(F.col("count") >= least)
+    top = counts.orderBy(F.desc("count"), "tok").limit(most).toPandas().sort_values(["count", "tok"])
+    tok, place = top["tok"].to_numpy(np.int64), np.arange(len(top))
+    by = np.argsort(tok)
+    return tok[by], place[by]
+
+
+def prefix_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u < v) of stored ``prefixes`` (node, n, bits, x) of different ``roots`` (node, root) that may be at ``percent``.
+
+    Two sets of sizes n and m at that similarity share percent * (n + m) / (100 + percent) hashes or more,
+    so the first that they share, in the common order, is in both prefixes and leaves as many hashes from
+    its place on in either set. Each bit that only one of them has stands for a hash at least that the
+    other lacks, so bits rule out most pairs that share little besides. A hash that brings no two roots together counts for nothing; one that does
+    pairs its nodes by pairs of roots, so the nodes of one root are never paired among themselves. Nothing
+    is capped: a hash that is in the prefixes of many roots makes all their pairs.
+    """
+    rooted = prefixes.join(_bounded(roots, 2_000_000), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("x").alias("at", "tok"))
+    across = materialize(rooted.groupBy("tok").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("tok"), "across")
+    entries = materialize(rooted.join(_bounded(across, 2_000_000), "tok").select("tok", "root", "node", "n", (F.col("n") - F.col("at")).alias("rest")), "entries")
+    groups = materialize(entries.select("tok", "root").distinct(), "groups")
+    met = groups.select("tok", F.col("root").alias("root_u")).join(groups.select("tok", F.col("root").alias("root_v")), "tok").where("root_u < root_v")
+    for k in "uv":
+        met = met.join(entries.select("tok", *[F.col(x).alias(f"{x}_{k}") for x in ("root", "node", "n", "rest")]), ["tok", f"root_{k}"])
+    met = met.where((100 + percent) * F.least("rest_u", "rest_v").cast("long") >= percent * (F.col("n_u").cast("long") + F.col("n_v")))
+    pairs = materialize(met.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct(), "met")
+    members = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "members")
+    known = prefixes.select("node", "n", "bits").join(_bounded(members, 2_000_000), "node", "left_semi")
+    a, b = (known.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"b_{k}")) for k in "uv")
+
+    def shared(k: str, other: str) -> Column:
+        lacking = F.zip_with(f"b_{k}", f"b_{other}", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+        return F.col(f"n_{k}").cast("long") - F.aggregate(lacking, F.lit(0), lambda s, x: s + x)
+
+    enough = (100 + percent) * F.least(shared("u", "v"), shared("v", "u")) >= percent * (F.col("n_u").cast("long") + F.col("n_v"))
+    return pairs.join(a, "u").join(b, "v").where((F.size("b_u") != F.size("b_v")) | enough).select("u", "v")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of stored ``pairs`` (u, v) those whose whole sets are at ``percent`` or more, stored."""
+    members = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "members")
+    full = materialize(texts.join(_bounded(members, 2_000_000), "node", "left_semi").select("node", _sets(width)("raw").alias("x")), "shingles")
+    a, b = (full.select(F.col("node").alias(k), F.col("x").alias(f"x_{k}")) for k in "uv")
+    both = F.size(F.array_intersect("x_u", "x_v"))
+    return materialize(pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("x_u") + F.size("x_v") - both)).select("u", "v"), "links")
+
+
 def similar_links(stored: DataFrame, text: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets (_tg_row, node) of a stored table with _tg_row, and verified links (u, v) of nodes.
 
-    Pairs come from ball hashing several short SimHash codes; each is held to a Jaccard similarity of
-    ``percent`` or more of the whole sets of distinct ``width``-word runs. Of pairs right at the bound
-    some 5 in 100 are never brought together, of more similar ones fewer (see ``Codes.of``).
+    The links join the nodes exactly as all pairs at a Jaccard similarity of ``percent`` or more of the
+    sets of distinct ``width``-word runs do. Some are found by equal SimHash codes; what those leave in
+    different components is searched for by prefixes, which miss no pair. Each is verified on whole sets.
     """
     ready(stored.sparkSession)
     c = Codes.of(stored.count(), width, percent)
     raw = F.col(text).cast("binary")
     sets = materialize(stored.select("_tg_row", _sketches(c)(raw).alias("s")).select("_tg_row", "s.*"), "sketches")
     nodes = materialize(sets.groupBy("told").agg(F.min("_tg_row").alias("node"), F.first("codes").alias("codes")), "nodes")
-    pairs = materialize(code_pairs(nodes, c), "pairs")
-    members = materialize(pairs.select(F.explode(F.array("u", "v")).alias("_tg_row")).distinct(), "members")
-    full = stored.join(_bounded(members, 2_000_000), "_tg_row", "left_semi").select(F.col("_tg_row").alias("node"), _sets(width)(raw).alias("x"))
-    full = materialize(full, "shingles")
-    a, b = (full.select(F.col("node").alias(k), F.col("x").alias(f"x_{k}")) for k in "uv")
-    both = F.size(F.array_intersect("x_u", "x_v"))
-    links = pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("x_u") + F.size("x_v") - both)).select("u", "v")
-    return sets.join(nodes.select("told", "node"), "told").select("_tg_row", "node"), links
+    classes = materialize(sets.join(nodes.select("told", "node"), "told").select("_tg_row", "node"), "classes")
+    copies = materialize(classes.where("_tg_row <> node").select("_tg_row"), "copies")
+    texts = stored.join(_bounded(copies, 2_000_000), "_tg_row", "left_anti").select(F.col("_tg_row").alias("node"), raw.alias("raw"))
+    near = _verified(texts, materialize(code_pairs(nodes, c), "pairs"), width, percent)
+    roots = materialize(components(near), "roots")
+    prefixes = materialize(texts.select("node", _prefixes(width, percent, *_common(texts, width, nodes.count()))("raw").alias("s")).select("node", "s.*"), "prefixes")
+    rest = _verified(texts, materialize(prefix_pairs(prefixes, roots, percent), "pairs"), width, percent)
+    return classes, near.unionByName(rest)
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -51,6 +51,42 @@ def test_recall_of_lone_pairs(spark):
     assert near > 100 and want <= left and len(left - want) <= 0.05 * near
 
 
+def test_no_pair_at_the_bound_is_left_out(spark):
+    """Lone pairs at 0.80 to 0.82, many with a passage that hundreds of texts share: each one is found, and nothing else goes."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    while len(rows) < 600:
+        w = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(100, 160))] + passage * rng.randint(0, 1)
+        other = list(w)
+        for j in range(rng.randint(3, 20), len(w), rng.randint(45, 60)):
+            other[j] = "changed"
+        a, b = brute.runs(" ".join(w)), brute.runs(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.82:
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(other))]
+    left = sorted(r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert left == brute.without_similar(rows) == list(range(0, 600, 2))
+
+
+def test_prefix_pairs_in_any_order_of_hashes(spark):
+    """With each order, the prefixes alone bring all pairs at the threshold together, but for those of one root."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(40):
+        x = rng.choice(60, rng.integers(1, 40), replace=False)
+        sets += [np.unique(x), np.unique(np.append(x[: max(1, len(x) - rng.integers(0, 4))], rng.integers(60)))]
+    roots = {i: i % 7 for i in range(0, 80, 3)}
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(np.intersect1d(a, b)) >= 70 * len(np.union1d(a, b)) and roots.get(i, i) != roots.get(j, j)}
+    assert len(want) > 25
+    rooted = spark.createDataFrame(list(roots.items()), "node long, root long")
+    for common in ([], [3, 8, 9, 41], range(60)):
+        common = np.array(common, dtype=np.int64)
+        place = rng.permutation(len(common))
+        rows = [(i, len(x), simhash.bitmap(x).tolist(), [int(y) for y in simhash.rare_first(x, common, place)[: len(x) - -(-70 * len(x) // 100) + 1]]) for i, x in enumerate(sets)]
+        got = {tuple(r) for r in simhash.prefix_pairs(spark.createDataFrame(rows, "node long, n int, bits array<long>, x array<long>"), rooted, 70).collect()}
+        assert want <= got and all(i < j and roots.get(i, i) != roots.get(j, j) for i, j in got)
+
+
 def test_rows_without_a_key_are_told_apart(spark):
     texts = [" ".join(f"t{i}w{j}" for j in range(30)) for i in range(5)]
     rows = [(None, t, "a") for t in texts] + [(None, texts[0], "b"), (4, texts[1], "c"), (None, None, "d"), (None, " ", "e")]
