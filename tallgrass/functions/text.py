@@ -15,7 +15,7 @@ from ..workers import ready
 _DASHES = "‐‑‒–—―−"
 _BREAKS = "\t\r\n"
 _PLAIN = r"^[\x20-\x7E\n\t]*+$"
-_EDGE = r"(?U)^\s+|\s+$"
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"  # what (?U)\s matches
 STOP_WORDS = tuple(sorted("a an and are as be by com da das de do dos e em for from in is it na no o of on or os para por que sua seu ao that the this to um uma with".split()))
 
 
@@ -51,13 +51,21 @@ def _plain_letters() -> tuple[str, str]:
 _ACCENTED, _BARE = _plain_letters()
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once a row, however often ``f`` uses it.
+
+    Spark puts an expression where its name stands, so one that is used in many places, or in a lambda, runs for each.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def text_or_blank(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 
 
 def strip(x: Column) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(x, _EDGE, "")
+    return F.btrim(x, F.lit(_WHITE))
 
 
 def clean_scalar(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import part_of, percent, quantization, stable_id
+from ..functions.text import once, part_of, percent, quantization, stable_id
 from ..operators import audit, metrics, requests, responses, retrieval, stages
 from ..operators.prepare import validate_input
 from ..scratch import new_path
@@ -141,7 +141,7 @@ def schema_violations(spark: SparkSession, d: str) -> DataFrame:
     text = F.to_json(F.struct("verdict", F.nullif(F.col("adoption_status"), F.lit("")).alias("status"), F.nullif(F.col("overlap_with"), F.lit("")).alias("extra")))
     order = F.array(*[F.lit(x) for x in ("$.verdict: not allowed", "$.status: missing", "$: unknown keys")])
     found = responses.schema_errors(responses.json_object(F.concat(F.lit("```json\n"), text, F.lit("\n```"))), schema)
-    return rows.select(*KEY, "pair_pos", F.array_join(F.filter(order, lambda x: F.array_contains(found, x)), "|").alias("broken"))
+    return rows.select(*KEY, "pair_pos", once(found, lambda f: F.array_join(F.filter(order, lambda x: F.array_contains(f, x)), "|")).alias("broken"))
 
 
 @query("""SELECT 'Shop' AS repository, concat('', c_custkey) AS issue_number, trim(c_name) AS issue_title, c_mktsegment || chr(10) || 'x' AS issue_body, concat('Shop#', c_custkey) AS issue_key, '' AS labels, concat('', c_nationkey) AS nation FROM customer""")
