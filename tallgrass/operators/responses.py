@@ -126,41 +126,60 @@ def decode_wire(text: Column, stage: int, ids: Mapping[str, str] | None = None,
     stage-1 pattern outside ``allowed``, an array of names.
     """
     short = WIRE1 if stage == 1 else WIRE2
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    compact = F.arrays_overlap(keys, F.array(*map(F.lit, short.values())))
-    whole = (F.size(F.array_except(keys, F.array(*map(F.lit, short.values())))) == 0) & (F.size(keys) == len(short))
     kinds = dict(x.strip().split(" ", 1) for x in STAGE2_PAYLOAD.split(","))
-    if stage == 1:
-        inner = "array<struct<" + ", ".join(f"{s}: string" for s in WIRE_CANDIDATE.values()) + ">>"
-        row = F.from_json(text, f"s string, t string, h array<string>, x string, c {inner}")
-        candidates = F.transform(row["c"], lambda c: F.struct(*[c[s].alias(n) for n, s in WIRE_CANDIDATE.items()]))
-        long = F.struct(*[(candidates if n == "candidates" else row[s]).alias(n) for n, s in short.items()])
-    else:
-        row = F.from_json(text, ", ".join(f"{s} {kinds[n]}" for n, s in short.items()))
-        long = F.struct(*[row[s].alias(n) for n, s in short.items()])
-    error = F.when(compact & ~whole, F.lit("compact response with missing, mixed or unknown keys"))
-    if ids is not None:
-        table = F.create_map(*[F.lit(x) for n, i in ids.items() for p in ((i, n), (n, n)) for x in p]) if ids else F.create_map()
-        plain = F.from_json(text, STAGE1_PAYLOAD if stage == 1 else STAGE2_PAYLOAD)
-        told = F.when(compact, long).otherwise(plain if stage == 2 else F.struct(*[plain[n].alias(n) for n in WIRE1]))
+    inner = "array<struct<" + ", ".join(f"{s}: string" for s in WIRE_CANDIDATE.values()) + ">>"
+    table = F.create_map(*[F.lit(x) for n, i in (ids or {}).items() for p in ((i, n), (n, n)) for x in p])
+    none = F.array().cast("array<string>")
+    renamed = lambda c: F.struct(*[c[s].alias(n) for n, s in WIRE_CANDIDATE.items()])
+
+    def read(raw: Column, compact: Column) -> Column:
+        """The payload with long keys; without ``ids`` of a compact response only."""
+        if stage == 1:
+            row = F.from_json(raw, f"s string, t string, h array<string>, x string, c {inner}")
+            long = once(row, lambda r: F.struct(*[(F.transform(r["c"], renamed) if n == "candidates" else r[s]).alias(n) for n, s in short.items()]))
+        else:
+            row = F.from_json(raw, ", ".join(f"{s} {kinds[n]}" for n, s in short.items()))
+            long = once(row, lambda r: F.struct(*[r[s].alias(n) for n, s in short.items()]))
+        if ids is None:
+            return long
+        plain = F.from_json(raw, STAGE1_PAYLOAD if stage == 1 else STAGE2_PAYLOAD)
+        return F.when(compact, long).otherwise(plain if stage == 2 else once(plain, lambda p: F.struct(*[p[n].alias(n) for n in WIRE1])))
+
+    def swapped(told: Column) -> Column:
+        """Names for ids."""
         if stage == 1:
-            used = F.transform(told["candidates"], lambda c: c["pattern"])
             named = F.transform(told["candidates"], lambda c: F.struct(*[(F.try_element_at(table, c[n]) if n == "pattern" else c[n]).alias(n) for n in WIRE_CANDIDATE]))
-            long = F.struct(*[(named if n == "candidates" else told[n]).alias(n) for n in WIRE1])
+            return F.struct(*[(named if n == "candidates" else told[n]).alias(n) for n in WIRE1])
+        other = F.when(told["alternative_pattern"] != "", F.try_element_at(table, told["alternative_pattern"])).otherwise(told["alternative_pattern"])
+        instead = {"alternative_pattern": other, "overlap_with": F.transform(told["overlap_with"], lambda x: F.try_element_at(table, x))}
+        return F.struct(*[instead.get(n, told[n]).alias(n) for n in WIRE2])
+
+    def patterns_wrong(told: Column) -> Column:
+        if stage == 1:
+            used = F.transform(told["candidates"], lambda c: c["pattern"])
         else:
-            used = F.concat(F.filter(F.array(told["alternative_pattern"]), lambda x: x != ""), F.coalesce(told["overlap_with"], F.array().cast("array<string>")))
-            other = F.when(told["alternative_pattern"] != "", F.try_element_at(table, told["alternative_pattern"])).otherwise(told["alternative_pattern"])
-            swapped = {"alternative_pattern": other, "overlap_with": F.transform(told["overlap_with"], lambda x: F.try_element_at(table, x))}
-            long = F.struct(*[swapped.get(n, told[n]).alias(n) for n in WIRE2])
-        error = F.coalesce(error, F.when(F.exists(used, lambda x: F.try_element_at(table, x).isNull()), F.lit("pattern unknown")))
-        if allowed is not None:
-            error = F.coalesce(error, F.when(F.exists(used, lambda x: ~F.array_contains(allowed, F.try_element_at(table, x))), F.lit("pattern outside the shortlist")))
-        compact, whole = F.lit(True), whole | ~compact
-    if stage == 2:
-        flags = [F.get_json_object(text, f"$.{k}") for n in ("mechanism_match", "scope_match", "focus_match") for k in (short[n], n)]
-        for f in flags:
-            error = F.coalesce(error, F.when(f.isNotNull() & ~f.isin("true", "false"), F.lit("a flag is no boolean")))
-    return F.when(compact & whole, F.to_json(long)).when(~compact, text), error
+            used = F.concat(F.filter(F.array(told["alternative_pattern"]), lambda x: x != ""), F.coalesce(told["overlap_with"], none))
+        unknown = lambda u: F.when(F.exists(u, lambda x: F.try_element_at(table, x).isNull()), F.lit("pattern unknown"))
+        beyond = lambda u: F.when(F.exists(u, lambda x: ~F.array_contains(allowed, F.try_element_at(table, x))), F.lit("pattern outside the shortlist"))
+        return once(used, unknown if allowed is None else lambda u: F.coalesce(unknown(u), beyond(u)))
+
+    def flags_wrong(raw: Column) -> Column:
+        names = [k for n in ("mechanism_match", "scope_match", "focus_match") for k in (short[n], n)]
+        return F.coalesce(*[once(F.get_json_object(raw, f"$.{k}"), lambda f: F.when(f.isNotNull() & ~f.isin("true", "false"), F.lit("a flag is no boolean"))) for k in names])
+
+    def decoded(raw: Column, keys: Column, compact: Column) -> Column:
+        whole = (F.size(F.array_except(keys, F.array(*map(F.lit, short.values())))) == 0) & (F.size(keys) == len(short))
+        mixed = F.when(compact & ~whole, F.lit("compact response with missing, mixed or unknown keys"))
+        errors = [mixed] + ([flags_wrong(raw)] if stage == 2 else [])
+        if ids is None:
+            return F.struct(F.when(compact & whole, F.to_json(read(raw, compact))).when(~compact, raw).alias("text"), F.coalesce(*errors).alias("error"))
+        return once(read(raw, compact), lambda told: F.struct(F.when(whole | ~compact, F.to_json(swapped(told))).alias("text"), F.coalesce(mixed, patterns_wrong(told), *errors[1:]).alias("error")))
+
+    def of_keys(raw: Column, keys: Column) -> Column:
+        return once(F.arrays_overlap(keys, F.array(*map(F.lit, short.values()))), lambda compact: decoded(raw, keys, compact))
+
+    both = once(text, lambda raw: once(F.coalesce(F.json_object_keys(raw), none), lambda keys: of_keys(raw, keys)))
+    return both["text"], both["error"]
 
 
 def known_name(value: Column, names: Sequence[str], ascii_only: bool = True) -> Column:
