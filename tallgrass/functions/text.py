@@ -31,11 +31,12 @@ def _bare(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c)))
 
 
-def _beyond_ascii(x: Column, f: Callable, ascii_form: Column) -> Column:
+def _beyond_ascii(x: Column, f: Callable, ascii_form: Callable[[Column], Column]) -> Column:
     ready()
-    beyond = x.rlike(r"[^\x00-\x7F]")
-    step = F.pandas_udf(f, T.StringType())
-    return F.when(beyond, step(F.when(beyond, x))).otherwise(ascii_form)  # Python gets nulls for ASCII texts
+    beyond = r"[^\x00-\x7F]"
+    # Python gets nulls for ASCII texts, and gives them back
+    told = F.pandas_udf(f, T.StringType())(once(x, lambda v: F.when(v.rlike(beyond), v)))
+    return F.coalesce(told, once(x, lambda v: F.when(~v.rlike(beyond), ascii_form(v))))
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -79,7 +80,7 @@ def normalize_unicode(x: Column, newlines: bool, ascii_only: bool = False) -> Co
     and leaves the Python step out.
     """
     given = text_or_blank(x)
-    x = given if ascii_only else _beyond_ascii(given, _nfkc, given)
+    x = given if ascii_only else _beyond_ascii(given, _nfkc, lambda v: v)
     x = F.regexp_replace(x, r"\r\n?", "\n")
     x = F.translate(x, _DASHES, "-" * len(_DASHES))
     x = F.regexp_replace(x, r"[\p{Cf}&&[^‌‍]]", "")
@@ -104,7 +105,7 @@ def canonical_display(x: Column, ascii_only: bool = False) -> Column:
 
 
 def fold(x: Column, ascii_only: bool = False) -> Column:
-    return F.lower(x) if ascii_only else _beyond_ascii(x, _casefold, F.lower(x))
+    return F.lower(x) if ascii_only else _beyond_ascii(x, _casefold, F.lower)
 
 
 def fingerprint(x: Column, ascii_only: bool = False) -> Column:
@@ -161,12 +162,16 @@ def part_of(cell: Column, name: str) -> Column:
 
 def terms(x: Column, ascii_only: bool = False, stop: Sequence[str] = STOP_WORDS) -> Column:
     """Words for matching: camel case apart, folded, no accents, two letters or more, no stop words."""
-    x = F.regexp_replace(text_or_blank(x), "([a-z])([A-Z])", "$1 $2")
-    if not ascii_only:  # the usual accents go in the row itself; Python gets what is left beyond ASCII
-        x = F.translate(F.replace(x, F.lit("\u00DF"), F.lit("ss")), _ACCENTED, _BARE)
-    x = F.lower(x) if ascii_only else _beyond_ascii(x, _bare, F.lower(x))
-    words = F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop))
+    camel = lambda v: F.regexp_replace(v, "([a-z])([A-Z])", "$1 $2")
+    given, beyond = text_or_blank(x), r"[^\x00-\x7F]"
+    low = F.lower(camel(given))
+    if not ascii_only:  # the usual accents go in the row itself; Python gets texts with others, and nulls for the rest
+        ready()
+        folded = F.translate(F.replace(camel(given), F.lit("\u00DF"), F.lit("ss")), _ACCENTED, _BARE)
+        told = F.pandas_udf(_bare, T.StringType())(F.when(given.rlike(beyond), once(folded, lambda v: F.when(v.rlike(beyond), v))))
+        low = F.coalesce(told, F.when(given.rlike(beyond), F.lower(folded)).otherwise(low))
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*stop))
 
 
 def phrase_in(phrase: Column, text: Column) -> Column:
