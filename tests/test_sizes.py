@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallgrass.functions.text import once, strip
-from tallgrass.operators import catalog, responses
+from tallgrass import sizes
+from tallgrass.functions.text import once, strip, terms
+from tallgrass.operators import catalog, responses, retrieval, spans
 
 
 def plan_of(df) -> str:
@@ -58,3 +60,38 @@ def test_related_names_by_blocks(spark, monkeypatch):
     repeated = spark.createDataFrame([(f"n{i % 2}", "c", "s", i) for i in range(400)], "name string, c string, s string, o int")
     plan = plan_of(catalog.related(repeated, "name", "c", "s", "o"))
     assert plan.count("Join") == 1 and plan.count("collect_set") == 1  # packed entries meet distinct names, not entries entries
+
+
+def test_tasks_grow_with_the_table(spark, tmp_path):
+    spark.range(0, 300_000, 1, 1).withColumn("t", F.sha2(F.col("id").cast("string"), 256)).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).select("t")
+    size = sizes.read_bytes(df)
+    assert size > 1_000_000 and sizes.tasks(df, size / 1_000_000 / 40) in (40, 41) and sizes.tasks(df, 1e6) == spark.sparkContext.defaultParallelism
+    assert sizes.tasks(df.union(df), size / 1_000_000 / 40) in (80, 81)
+    assert sizes.tasks(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) >= spark.sparkContext.defaultParallelism
+
+
+def test_texts_are_dealt_by_their_size(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "tasks", lambda df: 37)
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "beta"), (2, "gamma")], "k int, t string").coalesce(1)
+    scores = retrieval.tfidf_scores(docs, "k", "t", spark.createDataFrame([("a", "alpha beta"), ("b", "beta delta")], "n string, d string"), "n", "d")
+    assert any("RepartitionByExpression" in x and "37" in x for x in plan_of(scores).splitlines())
+    assert {(r["k"], r["n"]) for r in scores.collect()} == {(1, "a"), (1, "b")}
+
+
+def test_terms_fold_a_text_twice_at_most(spark):
+    df = spark.createDataFrame([(t,) for t in ("camelCase the ÀÉ Straße", "ﬁne Żółw ﬀ Σςx", "a b cc", None, "")], "t string").coalesce(1)
+    plan = plan_of(df.select(terms(F.col("t")).alias("x")))
+    assert plan.count("translate(") + plan.count("stringtranslate(") <= 2
+    got = [r["x"] for r in df.select(terms(F.col("t")).alias("x")).collect()]
+    assert [got[i] for i in (0, 2, 3, 4)] == [["camel", "case", "ae", "strasse"], ["cc"], [], []]
+    assert set(got[1]) == spans.word_set("ﬁne Żółw ﬀ Σςx")
+
+
+def test_latent_scores_make_no_text_of_python(spark):
+    catalog_ = spark.createDataFrame([("a", "alpha beta beta"), ("b", "beta delta"), ("c", "gamma")], "n string, d string")
+    model = retrieval.fit_latent(catalog_, "n", "d")
+    batch = pa.array([["beta", "zz", "alpha", "beta"], [], ["zz"], None], pa.list_(pa.string()))
+    got = retrieval._scores(batch, model).to_pylist()
+    assert got[1] == got[2] == got[3] == [0.0, 0.0, 0.0] and got[0][0] == max(got[0])
+    assert retrieval._scores(batch.slice(2), model).to_pylist() == got[2:] and retrieval._scores(batch.slice(0, 0), model).to_pylist() == []
