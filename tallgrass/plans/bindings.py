@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sizes import tasks
+
 PAIRS = """
 SELECT 'shop' AS repository, concat('', l_orderkey) AS issue_number, concat('P', l_partkey) AS pattern,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS BIGINT) AS pair_pos,
@@ -52,19 +54,19 @@ NAMED = {"pairs": PAIRS, "stage1": STAGE1, "inputs": INPUTS, "labelled": LABELLE
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-#: Tables whose rows are dear to work on.
-_HEAVY = ("documents", "pages", "events", "embeddings")
+#: Tables whose rows are dear to work on, and for those with small rows the megabytes of a task.
+_HEAVY = {"documents": None, "pages": None, "events": 2.0, "embeddings": None}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small input that arrives in fewer pieces than there are cores, dealt out evenly; a large one as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def spread(df: DataFrame, megabytes: float | None = None) -> DataFrame:
+    """An input that arrives in fewer pieces than there are cores, or than its ``megabytes`` ask for, dealt out evenly; any other as it is."""
+    least = tasks(df, megabytes) if megabytes else df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in _HEAVY else df
+    return spread(df, _HEAVY[name]) if name in _HEAVY else df
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallgrass import sizes
 from tallgrass.functions.text import once, strip, terms
 from tallgrass.operators import catalog, responses, retrieval, spans
+from tallgrass.plans import bindings
 
 
 def plan_of(df) -> str:
@@ -95,3 +96,18 @@ def test_latent_scores_make_no_text_of_python(spark):
     got = retrieval._scores(batch, model).to_pylist()
     assert got[1] == got[2] == got[3] == [0.0, 0.0, 0.0] and got[0][0] == max(got[0])
     assert retrieval._scores(batch.slice(2), model).to_pylist() == got[2:] and retrieval._scores(batch.slice(0, 0), model).to_pylist() == []
+
+
+def test_small_rows_are_dealt_by_size(spark, tmp_path):
+    spark.range(0, 400_000, 1, 1).select(F.col("id").alias("event_id"), F.sha2(F.col("id").cast("string"), 512).alias("t")).write.parquet(str(tmp_path / "events.parquet"))
+    dealt = bindings.table(spark, str(tmp_path), "events")
+    assert dealt.rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism
+
+
+def test_an_outcome_reads_only_what_is_there(spark):
+    df = spark.createDataFrame([(i, a) for i, a in enumerate([None, "{", "[]", '{"text":" a "}', '{"candidates":[{"finishReason":"x.stop","content":{"parts":[{"text":"b"},{"text":"c"}]}}],"usageMetadata":{"promptTokenCount":2,"thoughtsTokenCount":"3"},"modelVersion":"m"}', '{"choices":null,"candidates":[]}'])], "i int, a string").coalesce(1)
+    told = df.select("i", responses.outcome(F.col("a")).alias("o"))
+    assert plan_of(told).count("get_json_object") <= 80
+    got = {r["i"]: r["o"] for r in told.collect()}
+    assert [got[i]["error"] for i in range(6)] == ["no answer", "no answer", "no answer", None, None, "no text"]
+    assert got[3]["text"] == "a" and (got[4]["text"], got[4]["stop_reason"], got[4]["input_tokens"], got[4]["thoughts_tokens"], got[4]["model"]) == ("bc", "STOP", 2, 3, "m")
