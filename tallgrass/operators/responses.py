@@ -66,19 +66,16 @@ def outcome(response: Column) -> Column:
     A blocked prompt, a finish other than STOP (``length`` counts as MAX_TOKENS), no choices and a blank
     text are errors; the first that holds is named. A null answer is an error too.
     """
-    at = lambda *paths: F.coalesce(*[F.get_json_object(response, f"$.{p}") for p in paths])
+    return once(response, lambda r: once(F.json_object_keys(r), lambda keys: _outcome(r, keys)))
+
+
+def _outcome(response: Column, keys: Column) -> Column:
+    def at(*paths: str) -> Column:
+        """The first value; a path whose first key the object lacks isn't searched for."""
+        there = lambda p: keys.isNull() | F.array_contains(keys, p.split(".")[0].split("[")[0])
+        return F.coalesce(*[F.when(there(p), F.get_json_object(response, f"$.{p}")) for p in paths])
+
     number = lambda *paths: at(*paths).try_cast("double")
-    chosen = at("choices").isNotNull()
-    raw = F.lower(F.coalesce(at("choices[0].finish_reason"), F.lit("")))
-    own = F.when(raw.isin("", "stop"), "STOP").when(raw.isin("length", "max_tokens"), "MAX_TOKENS").otherwise(F.upper(raw))
-    stop = F.when(chosen, own).otherwise(F.upper(F.regexp_replace(F.coalesce(at("candidates[0].finish_reason", "candidates[0].finishReason"), F.lit("")), r"^.*\.", "")))
-    parts = F.from_json(at("candidates[0].content.parts"), "array<struct<text: string>>")
-    text = strip(F.coalesce(F.when(chosen, at("choices[0].message.content")).otherwise(F.coalesce(at("text"), F.array_join(F.transform(parts, lambda p: p["text"]), ""))), F.lit("")))
-    block = at("prompt_feedback.block_reason", "promptFeedback.blockReason")
-    error = _first(
-        (response.isNull() | F.json_object_keys(response).isNull(), "no answer"), (block.isNotNull(), "prompt blocked"), (chosen & at("choices[0]").isNull(), "no choices"),
-        (~stop.isin("STOP", ""), "finish is not STOP"), (text == "", "no text"),
-    )
     count = lambda *paths: number(*paths).cast("long")
     usage = {
         "input_tokens": count("usage.prompt_tokens", "usage_metadata.prompt_token_count", "usageMetadata.promptTokenCount"), "output_tokens": count("usage.completion_tokens", "usage_metadata.candidates_token_count", "usageMetadata.candidatesTokenCount"),
@@ -87,7 +84,24 @@ def outcome(response: Column) -> Column:
         "prompt_tokens_per_second": number("timings.prompt_per_second", "timings.prompt_tokens_per_second"), "generation_tokens_per_second": number("timings.predicted_per_second", "timings.generation_tokens_per_second"),
     }
     told = {"response_id": F.coalesce(at("id", "response_id", "responseId"), F.lit("")), "model": F.coalesce(at("model", "model_version", "modelVersion"), F.lit(""))}
-    return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"), stop.alias("stop_reason"), *[v.alias(k) for k, v in (told | usage).items()])
+
+    def stop_of(chosen: Column) -> Column:
+        own = once(F.lower(F.coalesce(at("choices[0].finish_reason"), F.lit(""))), lambda raw: F.when(raw.isin("", "stop"), "STOP").when(raw.isin("length", "max_tokens"), "MAX_TOKENS").otherwise(F.upper(raw)))
+        return F.when(chosen, own).otherwise(F.upper(F.regexp_replace(F.coalesce(at("candidates[0].finish_reason", "candidates[0].finishReason"), F.lit("")), r"^.*\.", "")))
+
+    def text_of(chosen: Column) -> Column:
+        parts = F.from_json(at("candidates[0].content.parts"), "array<struct<text: string>>")
+        return strip(F.coalesce(F.when(chosen, at("choices[0].message.content")).otherwise(F.coalesce(at("text"), F.array_join(F.transform(parts, lambda p: p["text"]), ""))), F.lit("")))
+
+    def judged(x: Column) -> Column:
+        block = at("prompt_feedback.block_reason", "promptFeedback.blockReason")
+        error = _first(
+            (response.isNull() | keys.isNull(), "no answer"), (block.isNotNull(), "prompt blocked"), (x["chosen"] & at("choices[0]").isNull(), "no choices"),
+            (~x["stop"].isin("STOP", ""), "finish is not STOP"), (x["text"] == "", "no text"),
+        )
+        return once(error, lambda e: F.struct(F.when(e.isNull(), x["text"]).alias("text"), e.alias("error"), x["stop"].alias("stop_reason"), *[v.alias(k) for k, v in (told | usage).items()]))
+
+    return once(at("choices").isNotNull(), lambda chosen: once(F.struct(chosen.alias("chosen"), stop_of(chosen).alias("stop"), text_of(chosen).alias("text")), judged))
 
 
 def wire_schema(schema: dict, stage: int) -> dict:
