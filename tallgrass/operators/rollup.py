@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import weakest
 from ..functions.text import clean_scalar
+from ..sizes import dealt
 from ..types import ISSUE_COLUMNS, KEY, PASSED_ON
 
 
 def ordered(pos: Column, value: Column, when: Column | None = None) -> Column:
     """Aggregate: the values in the order of ``pos`` (with those where ``when`` doesn't hold left out)."""
     row = F.struct(pos.alias("p"), value.alias("v"))
-    return F.transform(F.array_sort(F.collect_list(row if when is None else F.when(when, row))), lambda x: x["v"])
+    return F.transform(F.sort_array(F.collect_list(row if when is None else F.when(when, row))), lambda x: x["v"])  # array_sort compares by an expression
 
 
 def joined_unique(values: Column) -> Column:
@@ -26,7 +27,7 @@ def pair_groups(pairs: DataFrame, pos: str = "pair_pos") -> DataFrame:
     good = F.coalesce(F.col("request_status") == "succeeded", F.lit(False))
     telling = good & (verdict != "no")
     lists = {"adoption_status": "statuses", "evidence_text": "evidence", "evidence_location": "locations", "overlap_with": "overlaps", "confidence": "confidences"}
-    return pairs.groupBy(*KEY).agg(
+    return dealt(pairs, *KEY).groupBy(*KEY).agg(
         *[ordered(p, F.col("pattern"), good & (verdict == v)).alias(f"_{v}") for v in ("yes", "uncertain", "insufficient_context")],
         *[ordered(p, clean_scalar(F.col(c)), telling).alias(f"_{a}") for c, a in lists.items()],
         F.bool_or(good & (F.col("false_friend_detected") == "yes")).alias("_friend"),
@@ -52,7 +53,7 @@ def rollup(stage1: DataFrame, pairs: DataFrame, inputs: DataFrame | None = None,
     meta = [c for c in (*PASSED_ON, "repository_full_name", "repository_category", "repository_category_canonical") if c in have]
     if inputs is not None:
         last = F.max_by(F.struct(*meta, F.lit(True).alias("_there")), F.col(input_pos) if input_pos else F.lit(0)).alias("_m")
-        s = s.join(keyed(inputs).groupBy(*KEY).agg(last), list(KEY), "left")
+        s = s.join(dealt(keyed(inputs), *KEY, like=pairs).groupBy(*KEY).agg(last), list(KEY), "left")
     m = lambda c, other: F.when(F.col("_m._there"), clean_scalar(F.col(f"_m.{c}"))).otherwise(other) if c in meta else other
     none, ok = F.array().cast("array<string>"), F.col("request_status") == "succeeded"
     lists = {c: F.coalesce(F.col(f"_{c}"), none) for c in ("yes", "uncertain", "insufficient_context", "statuses", "evidence", "locations", "overlaps", "confidences")}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_multivalue
 from ..scratch import materialize
+from ..sizes import dealt
 from ..types import ERRORED, KEY, PAIR_KEY, SUCCEEDED
 from .audit import duplicate_keys, require
 from .responses import known_name
@@ -87,16 +88,14 @@ def integrity(expected: DataFrame, results: DataFrame, issues: DataFrame | None
 
 def funnel(issues: DataFrame, pairs: DataFrame, final: DataFrame) -> DataFrame:
     """One row: distinct issues at each stage, and where pair verdicts and issue results disagree."""
-    key = F.struct(*KEY)
-    per = pairs.groupBy(*KEY).agg(F.bool_or((F.col("request_status") == SUCCEEDED) & (F.col("verdict") == "yes")).alias("_yes"))
+    per = dealt(pairs, *KEY).groupBy(*KEY).agg(F.bool_or((F.col("request_status") == SUCCEEDED) & (F.col("verdict") == "yes")).alias("_yes"))
     end = final.groupBy(*KEY).agg(F.bool_or(F.col("relevant_to_pattern_study") == "yes").alias("_final"))
     joined = issues.select(*KEY, "candidate_count").join(per, list(KEY), "full").join(end, list(KEY), "full")
     yes, fin = F.coalesce("_yes", F.lit(False)), F.coalesce("_final", F.lit(False))
-    count = lambda c: F.count_distinct(F.when(c, key))
-    return joined.agg(
-        F.count_distinct(key).alias("issues"), count(F.coalesce(F.col("candidate_count"), F.lit(0)) > 0).alias("with_candidates"), count(F.col("_yes").isNotNull()).alias("with_pairs"),
-        count(yes).alias("with_yes"), count(fin).alias("final_yes"), count(yes & ~fin).alias("yes_not_final"), count(fin & ~yes).alias("final_not_yes"),
-    )
+    flags = {"with_candidates": F.coalesce(F.col("candidate_count"), F.lit(0)) > 0, "with_pairs": F.col("_yes").isNotNull(), "with_yes": yes, "final_yes": fin, "yes_not_final": yes & ~fin, "final_not_yes": fin & ~yes}
+    # a row an issue first: counts of distinct issues would spread each row over as many as there are counts
+    each = dealt(joined, *KEY, like=pairs).groupBy(*KEY).agg(*[F.bool_or(v).alias(k) for k, v in flags.items()])
+    return each.agg(F.count("*").alias("issues"), *[F.count_if(F.col(k)).alias(k) for k in flags])
 
 
 def pack_requests(requests: DataFrame, run: str, pos: str, size: str, max_items: int = 250, max_bytes: int = 18_000_000) -> DataFrame:

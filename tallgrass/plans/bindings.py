@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sizes import tasks
+from ..sizes import dealt, tasks
 
 PAIRS = """
 SELECT 'shop' AS repository, concat('', l_orderkey) AS issue_number, concat('P', l_partkey) AS pattern,
@@ -76,6 +76,8 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "pairs":  # numbered within an order: dealt for that to tasks of a bounded size
+        return spark.sql(PAIRS, lineitem=dealt(table(spark, sf_dir, "lineitem"), "l_orderkey"))
     return sql(spark, sf_dir, NAMED[name])
 
 

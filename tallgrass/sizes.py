@@ -10,7 +10,7 @@ _MOST = 20_000
 
 def read_bytes(df: DataFrame) -> int | None:
     """Bytes of the tables that ``df`` reads, by Spark's estimate; null where it has none."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     return None if any(s >= _UNKNOWN for s in sizes) else sum(sizes)
 
@@ -25,3 +25,8 @@ def tasks(df: DataFrame, megabytes: float = 8) -> int:
     if size is None:
         return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return min(_MOST, max(cores, -int(-size // (megabytes * 1_000_000))))
+
+
+def dealt(df: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
+    """``df`` dealt by key to tasks of a bounded size (to as many as ``like`` is dealt to, so that both meet where they are)."""
+    return df.repartition(tasks(df if like is None else like), *keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallgrass import sizes
 from tallgrass.functions.text import once, strip, terms
-from tallgrass.operators import catalog, responses, retrieval, spans
+from tallgrass.operators import catalog, responses, retrieval, rollup, spans, stages
 from tallgrass.plans import bindings
 
 
@@ -111,3 +111,16 @@ def test_an_outcome_reads_only_what_is_there(spark):
     got = {r["i"]: r["o"] for r in told.collect()}
     assert [got[i]["error"] for i in range(6)] == ["no answer", "no answer", "no answer", None, None, "no text"]
     assert got[3]["text"] == "a" and (got[4]["text"], got[4]["stop_reason"], got[4]["input_tokens"], got[4]["thoughts_tokens"], got[4]["model"]) == ("bc", "STOP", 2, 3, "m")
+
+
+def test_pairs_are_dealt_by_issue(spark, monkeypatch):
+    monkeypatch.setattr(sizes, "tasks", lambda df, megabytes=8: 23)
+    pairs = spark.createDataFrame([("r", "1", "P", 1, "succeeded", "yes"), ("r", "1", "Q", 0, "succeeded", "no"), ("r", "3", "P", 0, "errored", "no")], "repository string, issue_number string, pattern string, pair_pos int, request_status string, verdict string").coalesce(1)
+    for c in ("adoption_status", "evidence_text", "evidence_location", "overlap_with", "confidence", "false_friend_detected"):
+        pairs = pairs.withColumn(c, F.lit("x"))
+    assert "23" in next(x for x in plan_of(rollup.pair_groups(pairs)).splitlines() if "RepartitionByExpression" in x)
+    issues = spark.createDataFrame([("r", "1", 2), ("r", "1", 0), ("r", "2", None)], "repository string, issue_number string, candidate_count int").coalesce(1)
+    final = spark.createDataFrame([("r", "2", "yes"), ("r", "1", "no"), ("r", "4", "yes")], "repository string, issue_number string, relevant_to_pattern_study string").coalesce(1)
+    told = stages.funnel(issues, pairs, final)
+    assert "Expand" not in plan_of(told)  # no row for each of the counts
+    assert told.first().asDict() == {"issues": 4, "with_candidates": 1, "with_pairs": 2, "with_yes": 1, "final_yes": 2, "yes_not_final": 1, "final_not_yes": 2}
