@@ -10,6 +10,7 @@ from ..functions.text import once, part_of, percent, quantization, stable_id
 from ..operators import audit, metrics, requests, responses, retrieval, stages
 from ..operators.prepare import validate_input
 from ..scratch import new_path
+from ..sizes import dealt
 from ..sources import files, sinks
 from ..types import KEY, PAIR_KEY
 from . import composites
@@ -69,7 +70,7 @@ def response_outcome(spark: SparkSession, d: str) -> DataFrame:
 
 @query(oracle("pairs", "stage1") + """ SELECT DISTINCT p.repository, p.issue_number, p.pattern, p.evidence_text FROM pairs p JOIN stage1 s USING (repository, issue_number) WHERE s.request_status = 'succeeded'""")
 def evidence_lookup(spark: SparkSession, d: str) -> DataFrame:
-    found = bound(spark, d, "pairs").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pair_pos", "pattern", "evidence_text"))).alias("a"))
+    found = dealt(bound(spark, d, "pairs"), *KEY).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("pair_pos", "pattern", "evidence_text"))).alias("a"))
     told = F.to_json(F.transform("a", lambda x: F.struct(x["pattern"].alias("pattern"), x["evidence_text"].alias("evidence_text"))))
     first = bound(spark, d, "stage1").select(*KEY, "request_status").join(found.select(*KEY, told.alias("candidate_details")), list(KEY))
     return requests.evidence_of(first)
@@ -183,7 +184,7 @@ def dense_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    pairs = bound(spark, d, "pairs")
+    pairs = dealt(bound(spark, d, "pairs"), *KEY)
     number = F.substring("pattern", 2, 20).cast("int") % 4
     results = pairs.groupBy(*PAIR_KEY).agg(F.min("verdict").alias("verdict"))
     labels = results.select(*PAIR_KEY, F.when(number == 0, "yes").when(number == 1, "no").otherwise("uncertain").alias("human_verdict")).where(number < 3)
