@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sizes import dealt
 from ..types import KEY, PAIR_KEY, SUCCEEDED
 from . import retrieval
 from .catalog import related, require_bounded
@@ -102,7 +103,8 @@ def evidence_of(stage1: DataFrame) -> DataFrame:
     kind = "array<struct<pattern: string, evidence_text: string>>"
     rows = stage1.where(F.coalesce(F.col("request_status"), F.lit(SUCCEEDED)) == SUCCEEDED)
     named = rows.select(*KEY, F.posexplode(F.from_json(F.coalesce("candidate_details", F.lit("[]")), kind)).alias("_i", "_d"))
-    return named.groupBy(*KEY, F.col("_d.pattern").alias("pattern")).agg(F.max_by(F.coalesce("_d.evidence_text", F.lit("")), "_i").alias("evidence_text"))
+    told = dealt(named.select(*KEY, F.col("_d.pattern").alias("pattern"), "_i", F.coalesce("_d.evidence_text", F.lit("")).alias("_e")), *PAIR_KEY)
+    return told.groupBy(*PAIR_KEY).agg(F.max_by("_e", "_i").alias("evidence_text"))
 
 
 def stage2_contexts(pairs: DataFrame, prepared: DataFrame, stage1: DataFrame, entries: Entries, tokens: int = 2_000) -> DataFrame:
